@@ -170,11 +170,17 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def release(spark: SparkSession) -> None:
-    """Ask the driver's JVM to notice what is no longer referenced, so that shuffle files of finished jobs go."""
+    """Ask the driver's JVM to notice what is no longer referenced, so that shuffle files of finished jobs go.
+
+    Spark deletes them in the background once their plans are collected; two rounds, with a moment for that.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def class_of(df: DataFrame, key: str, id_col: str, salts: int = 64) -> DataFrame:
