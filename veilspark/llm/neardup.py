@@ -3,12 +3,13 @@
 Texts are words; their k-mers are runs of five words, labelled with how often they occurred before in the text. Each
 hash function samples the SAMPLED smallest labelled k-mers and keeps them in the order of the text, so equal sketches
 speak for small edit distance, not only for common k-mers. Bands of sketches deal texts to buckets. Candidates are
-verified: the k-mer multisets must have Jaccard similarity of at least `threshold`, and an alignment must close within
-the band of insertions and deletions that such a similarity leaves room for.
+verified by an alignment that must close within the band of insertions and deletions that texts of k-mer similarity
+`threshold` can need: (n + m) * (1 - threshold) / (1 + threshold) words, a ninth of both lengths at 0.8.
 
-No pairs within a bucket are enumerated. Equal word sequences are settled first, by hash. In each bucket the member
-that shares most is compared with all others; links are joined to components; the buckets that still hold several
-components go on without that member until none is left, so no link between different texts is lost.
+No pairs within a bucket are enumerated up front. Equal word sequences are settled first, by hash. In each bucket the
+member that shares most is compared with all others; links are joined to components; a bucket that still holds several
+components goes on without that member, with more members of small components each round, until none is left. So all
+pairs of a bucket end up in one component or were compared, and no link between different texts is lost.
 
 Defined cases: ids name documents, and rows that share an id are versions of one; a null id has no class; null and empty
 texts have no words, and texts without words are copies if they are equal, null being equal to empty; texts of under
@@ -17,6 +18,7 @@ five words have one k-mer; texts may have any length; an empty table gives an em
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
@@ -127,35 +129,89 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
-    """Whether two word sequences (hashes) are near duplicates: k-mer similarity, then banded alignment."""
+    """Whether two word sequences (hashes) are near duplicates.
+
+    Texts whose k-mers have similarity t in order differ by at most (n + m) * (1 - t) / (1 + t) inserted and deleted
+    words; that many make the band in which the alignment must close.
+    """
     if min(len(a), len(b)) < K:
         return len(a) == len(b) and bool((a == b).all())
-    bounds = np.array([0, len(a), len(a) + len(b)])
-    grams, counts = kmers(np.concatenate([a, b]), bounds)
-    n, m = int(counts[0]), int(counts[1])
-    if min(n, m) < threshold * max(n, m):
+    band = int((len(a) + len(b)) * (1 - threshold) / (1 + threshold) + 1e-9)
+    if abs(len(a) - len(b)) > band:
         return False
-    marked = labelled(grams, counts)
-    common = n + m - len(np.unique(marked))
-    if common < threshold * (n + m - common):
+    # words that have no partner at all must be inserted or deleted
+    _, side = np.unique(np.concatenate([a, b]), return_inverse=True)
+    if np.abs(np.bincount(side[: len(a)], minlength=side.max() + 1) - np.bincount(side[len(a) :], minlength=side.max() + 1)).sum() > band:
         return False
-    # in-order similarity of at least `threshold` leaves room for so many insertions and deletions
-    return aligns(a, b, int((n + m) * (1 - threshold) / (1 + threshold) + 1e-9))
-
-
-def aligns(a: np.ndarray, b: np.ndarray, band: int) -> bool:
-    """Whether `band` insertions and deletions turn a into b: furthest-reaching points on diagonals within the band."""
-    n = min(len(a), len(b))
-    different = np.flatnonzero(a[:n] != b[:n])
-    front = int(different[0]) if len(different) else n
-    a, b = a[front:], b[front:]
-    n = min(len(a), len(b))
-    different = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
-    back = int(different[0]) if len(different) else n
-    x, y = a[: len(a) - back].tolist(), b[: len(b) - back].tolist()
+    # anchors settle almost all pairs; where they lead astray, the plain banded alignment decides
+    return anchored(a, b, band) is not None or indels(a.tolist(), b.tolist(), band) is not None
+
+
+def anchored(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
+    """Insertions and deletions of an alignment of a and b that needs at most `band`, or None if none was found.
+
+    K-mers that occur once on either side and keep their order are anchors; what lies between two anchors is aligned
+    within what is left of the band.
+    """
+    whole = np.concatenate([a, b])
+    bounds = np.array([0, len(a), len(whole)])
+    grams, counts = kmers(whole, bounds)
+    first, second = grams[: counts[0]], grams[counts[0] :]
+    ua, ia, na = np.unique(first, return_index=True, return_counts=True)
+    ub, ib, nb = np.unique(second, return_index=True, return_counts=True)
+    _, x, y = np.intersect1d(ua[na == 1], ub[nb == 1], assume_unique=True, return_indices=True)
+    at_a, at_b = ia[na == 1][x], ib[nb == 1][y]
+    order = np.argsort(at_a)
+    at_a, at_b = at_a[order], at_b[order]
+    chain = _increasing(at_b)
+    at_a, at_b = at_a[chain], at_b[chain]
+    total = 0
+    i = j = 0  # all before is aligned
+    steps = np.flatnonzero((np.diff(at_a, prepend=-2) != 1) | (np.diff(at_b, prepend=-2) != 1))
+    ends = np.append(steps[1:], len(at_a))[: len(steps)] - 1
+    for start_a, start_b, last_a, last_b in [*zip(at_a[steps].tolist(), at_b[steps].tolist(), at_a[ends].tolist(), at_b[ends].tolist()), (len(a), len(b), len(a) - K, len(b) - K)]:
+        # k-mers overlap: a run may start inside what the last one aligned
+        late = max(0, i - start_a, j - start_b)
+        start_a, start_b = start_a + late, start_b + late
+        if start_a > last_a + K or start_b > last_b + K:
+            continue
+        part = indels(a[i:start_a].tolist(), b[j:start_b].tolist(), band - total)
+        if part is None:
+            return None
+        total += part
+        i, j = last_a + K, last_b + K
+    return total
+
+
+def _increasing(values: np.ndarray) -> np.ndarray:
+    """Positions of a longest increasing subsequence."""
+    if (np.diff(values) > 0).all():
+        return np.arange(len(values))
+    tails: list[int] = []
+    at: list[int] = []
+    before = [-1] * len(values)
+    for i, v in enumerate(values.tolist()):
+        k = bisect.bisect_left(tails, v)
+        if k == len(tails):
+            tails.append(v)
+            at.append(i)
+        else:
+            tails[k], at[k] = v, i
+        before[i] = at[k - 1] if k else -1
+    out, i = [], at[-1] if at else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return np.array(out[::-1], np.int64)
+
+
+def indels(x: list, y: list, band: int) -> int | None:
+    """Least insertions and deletions between two sequences, or None beyond `band`: furthest-reaching points on diagonals."""
     n, m = len(x), len(y)
     if abs(n - m) > band:
-        return False
+        return None
+    if not n or not m:
+        return n + m
     reach = {1: 0}
     for d in range(band + 1):
         now = {}
@@ -164,17 +220,17 @@ def aligns(a: np.ndarray, b: np.ndarray, band: int) -> bool:
                 continue
             down, right = reach.get(k + 1, -1), reach.get(k - 1, -2) + 1
             i = down if down >= right else right
-            if i < 0 or i > n or i - k > m:
-                continue
             j = i - k
+            if i < 0 or i > n or j > m:
+                continue
             while i < n and j < m and x[i] == y[j]:
                 i += 1
                 j += 1
             if i == n and j == m:
-                return True
+                return d
             now[k] = i
         reach = now
-    return False
+    return None
 
 
 def _word_sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -248,19 +304,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.groupBy(id_col).agg(F.min("class_id").alias("class_id"))
 
 
+#: Members of a bucket that are compared with all others in round r: the most central one and about GROWTH ** r more.
+GROWTH = 4
+
+
 def _link(rows: DataFrame, words: DataFrame, threshold: float) -> DataFrame | None:
     """(node, label) of the members of buckets that are linked; rows are (key, id, weight)."""
     links = done = labels = None
     rows = rows.withColumn("label", F.col("id"))
+    turn = 0
     while True:
-        by_label = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("id").alias("some"))
-        smallest = by_label.groupBy("key").agg(F.min(F.struct("n", "label", "some")).alias("least"), F.count("*").alias("labels")).where("labels > 1")
-        hub = rows.groupBy("key").agg(F.max(F.struct("weight", "id", "label")).alias("hub"))
-        centers = smallest.join(hub, "key").select("key", F.explode(F.array_distinct(F.array(F.struct("hub.id", "hub.label"), F.struct(F.col("least.some").alias("id"), F.col("least.label").alias("label"))))).alias("c"))
-        centers = centers.select("key", F.col("c.id").alias("center"), F.col("c.label").alias("center_label"))
-        centers = materialize(centers, "centers")
-        if centers.isEmpty():
+        by_label = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.max(F.struct("weight", "id")).alias("top"))
+        sizes = by_label.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("largest"), F.max(F.struct("top.weight", "top.id")).alias("hub"), F.count("*").alias("labels")).where("labels > 1")
+        sizes = materialize(sizes.select("key", "n", F.col("largest.label").alias("largest"), F.col("hub.id").alias("hub")), "sizes")
+        if sizes.isEmpty():
             return labels
+        # members of all but the largest component, about GROWTH ** turn of a bucket; in the first round the hub alone
+        drawn = F.pmod(F.xxhash64("id", F.lit(turn)), F.col("n")) < GROWTH**turn
+        centers = rows.join(sizes, "key").where((F.col("id") == F.col("hub")) | ((F.col("label") != F.col("largest")) & drawn) if turn else F.col("id") == F.col("hub"))
+        centers = materialize(centers.select("key", F.col("id").alias("center"), F.col("label").alias("center_label")), "centers")
         pairs = rows.join(centers, "key").where("label <> center_label").select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -271,10 +333,12 @@ def _link(rows: DataFrame, words: DataFrame, threshold: float) -> DataFrame | No
             links = new if links is None else links.unionByName(new)
             labels = components(links).withColumnRenamed("id", "node")
         left = rows.join(centers, (rows["key"] == centers["key"]) & (rows["id"] == centers["center"]), "left_anti").select("key", "id", "weight")
-        left = left.join(centers.select("key").distinct(), "key", "left_semi")
+        left = left.join(sizes.select("key"), "key", "left_semi")
         if labels is not None:
             left = left.join(labels, left["id"] == labels["node"], "left").select("key", "id", "weight", F.coalesce("label", "id").alias("label"))
         else:
             left = left.withColumn("label", F.col("id"))
+        left = materialize(left, "buckets")
         several = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        rows = materialize(left.join(several, "key", "left_semi"), "buckets")
+        rows = left.join(several, "key", "left_semi")
+        turn += 1
