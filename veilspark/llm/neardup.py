@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = None
     if not rows.isEmpty():
         wanted = rows.select("id").distinct()
-        words = materialize(_word_sequences(named.join(wanted.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text_col).withColumnRenamed(id_col, "id"), "words")
+        words = materialize(_word_sequences(named.join(wanted.withColumnRenamed("id", id_col).hint("merge"), id_col, "left_semi"), id_col, text_col).withColumnRenamed(id_col, "id"), "words")
         found = _link(rows, words, threshold)
     if found is None:
         return members.select(F.col("id").alias(id_col), F.col("first").alias("class_id")).distinct()
@@ -304,13 +304,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.groupBy(id_col).agg(F.min("class_id").alias("class_id"))
 
 
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Labels (node, label) after more links (a, b): only the graph of the labels that they join is walked."""
+    if labels is not None:
+        of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+        links = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        links = links.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
+    # each end keeps its smallest neighbour, and its other neighbours are tied to that one instead: one star each
+    links = materialize(links, "links")
+    if links.isEmpty():
+        return labels
+    low = links.groupBy("b").agg(F.min("a").alias("low"))
+    stars = links.join(low, "b").select(F.col("low").alias("a"), F.col("a").alias("b")).where("a <> b").union(low.select(F.col("low").alias("a"), "b")).distinct()
+    found = components(stars).withColumnRenamed("id", "node")
+    if labels is None:
+        return found
+    moved = found.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    kept = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return materialize(kept.unionByName(found.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
 #: Members of a bucket that are compared with all others in round r: the most central one and about GROWTH ** r more.
 GROWTH = 4
 
 
 def _link(rows: DataFrame, words: DataFrame, threshold: float) -> DataFrame | None:
     """(node, label) of the members of buckets that are linked; rows are (key, id, weight)."""
-    links = done = labels = None
+    done = labels = None
     rows = rows.withColumn("label", F.col("id"))
     turn = 0
     while True:
@@ -329,9 +349,7 @@ def _link(rows: DataFrame, words: DataFrame, threshold: float) -> DataFrame | No
         pairs = materialize(pairs, "pairs")
         done = pairs if done is None else done.unionByName(pairs)
         new = materialize(_verified(pairs, words, threshold), "links")
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            labels = components(links).withColumnRenamed("id", "node")
+        labels = _joined(labels, new)
         left = rows.join(centers, (rows["key"] == centers["key"]) & (rows["id"] == centers["center"]), "left_anti").select("key", "id", "weight")
         left = left.join(sizes.select("key"), "key", "left_semi")
         if labels is not None:
