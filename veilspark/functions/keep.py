@@ -71,7 +71,7 @@ def kept_of(m: Column) -> Column:
 
 def replace_keep(s: Column, pattern: str | Column) -> Column:
     """Remove matches but for their protected fragments. A match is looked at alone: its edges are string edges."""
-    return F.when(s.rlike(F.lit(pattern) if isinstance(pattern, str) else pattern), replace_by(s, pattern, kept_of)).otherwise(s)
+    return F.when(F.rlike(s, F.lit(pattern) if isinstance(pattern, str) else pattern), replace_by(s, pattern, kept_of)).otherwise(s)
 
 
 def keep_signature(s: Column) -> Column:

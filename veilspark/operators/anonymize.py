@@ -24,7 +24,7 @@ def _fold(state: Column, rules: Column, keep: bool = True) -> Column:
     """Apply rules in order to struct<s, applied>; a rule that fires logs its label."""
 
     def step(acc: Column, r: Column) -> Column:
-        fired = acc["s"].rlike(r["pattern"])
+        fired = F.rlike(acc["s"], r["pattern"])
         new = replace_by(acc["s"], r["pattern"], kept_of) if keep else F.regexp_replace(acc["s"], r["pattern"], F.lit(" "))
         return F.struct(F.when(fired, new).otherwise(acc["s"]).alias("s"), F.when(fired, F.array_append(acc["applied"], r["label"])).otherwise(acc["applied"]).alias("applied"))
 
@@ -51,7 +51,7 @@ def _one_pass(rows: DataFrame, base: RuleBase) -> DataFrame:
     steps = F.when(F.col("inn") != "", _alias_steps(F.col("aliases")))
 
     def step(acc: Column, r: Column) -> Column:
-        fired = acc["s"].rlike(r["pattern"])
+        fired = F.rlike(acc["s"], r["pattern"])
         new = F.when(r["keep"], replace_by(acc["s"], r["pattern"], kept_of)).otherwise(F.regexp_replace(acc["s"], r["pattern"], F.lit(" ")))
         return F.struct(F.when(fired, new).otherwise(acc["s"]).alias("s"), F.when(fired, F.array_append(acc["applied"], r["label"])).otherwise(acc["applied"]).alias("applied"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.dialect import stripped
 from veilspark.functions.normalize import code_candidates, extract_inn, normalize_name, words
-from veilspark.plans.rulebase import GENERIC_NOUNS, RuleBase
+from veilspark.plans.rulebase import GENERIC_NOUNS, RuleBase, quoted_column
 
 #: Aliases found inside other text have this many characters at least.
 LEAST_ALIAS = 7
@@ -31,7 +31,7 @@ def longest_alias(df: DataFrame, base: RuleBase, text: str, key: str = "row_id",
     spread = df.select(key, F.col(text).alias("__t"), F.explode(words(F.col(text))).alias("first_word"))
     hit = spread.join(index, "first_word").where(F.col("__t").contains(F.col("alias_norm")))
     if whole_words:
-        hit = hit.where(F.col("__t").rlike(F.concat(F.lit(r"(?iuUd)(?<!\w)"), F.regexp_replace("alias_norm", r"(?U)([^\w ])", r"\\$1"), F.lit(r"(?!\w)"))))
+        hit = hit.where(F.rlike("__t", F.concat(F.lit(r"(?iuUd)(?<!\w)"), quoted_column(F.col("alias_norm")), F.lit(r"(?!\w)"))))
     best = F.min(F.struct((-F.length("alias_norm")).alias("n"), "alias_norm", "alias_inn"))
     return hit.groupBy(key).agg(best.alias("b")).select(key, "b.alias_norm", F.col("b.alias_inn").alias("inn"))
 
