@@ -324,8 +324,9 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return materialize(kept.unionByName(found.join(labels.select("node"), "node", "left_anti")), "labels")
 
 
-#: Members of a bucket that are compared with all others in round r: the most central one and about GROWTH ** r more.
-GROWTH = 4
+#: Members of a bucket that are compared with all others: in round 0 the most central one, in round r about GROWTH ** r
+#: of those outside its largest component too (all of them, where they are fewer).
+GROWTH = 64
 
 
 def _link(rows: DataFrame, words: DataFrame, threshold: float) -> DataFrame | None:
@@ -336,11 +337,10 @@ def _link(rows: DataFrame, words: DataFrame, threshold: float) -> DataFrame | No
     while True:
         by_label = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.max(F.struct("weight", "id")).alias("top"))
         sizes = by_label.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("largest"), F.max(F.struct("top.weight", "top.id")).alias("hub"), F.count("*").alias("labels")).where("labels > 1")
-        sizes = materialize(sizes.select("key", "n", F.col("largest.label").alias("largest"), F.col("hub.id").alias("hub")), "sizes")
+        sizes = materialize(sizes.select("key", (F.col("n") - F.col("largest.n")).alias("others"), F.col("largest.label").alias("largest"), F.col("hub.id").alias("hub")), "sizes")
         if sizes.isEmpty():
             return labels
-        # members of all but the largest component, about GROWTH ** turn of a bucket; in the first round the hub alone
-        drawn = F.pmod(F.xxhash64("id", F.lit(turn)), F.col("n")) < GROWTH**turn
+        drawn = F.pmod(F.xxhash64("id", F.lit(turn)), F.col("others")) < GROWTH**turn
         centers = rows.join(sizes, "key").where((F.col("id") == F.col("hub")) | ((F.col("label") != F.col("largest")) & drawn) if turn else F.col("id") == F.col("hub"))
         centers = materialize(centers.select("key", F.col("id").alias("center"), F.col("label").alias("center_label")), "centers")
         pairs = rows.join(centers, "key").where("label <> center_label").select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b")).distinct()
