@@ -147,6 +147,35 @@ def test_near_duplicates_lose_no_link(spark):
     assert len(set(got.values())) > 0.6 * len(got)
 
 
+def test_near_duplicates_settle_skew(spark):
+    """Near copies of one text form one class; texts that share but one phrase, repeated, stay alone."""
+    import random
+
+    rng = random.Random(3)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base = prose(150)
+    copies = []
+    for _ in range(60):
+        own = list(base)
+        own[rng.randrange(150)] = "x"
+        copies.append(" ".join(own))
+    alone = [" ".join(prose(120) + ["of", "the"] * 300) for _ in range(60)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs(spark, copies + alone)).collect()}
+    assert got == {i: 0 if i < 60 else i for i in range(120)}
+
+
+def test_signatures_follow_similarity():
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    for cut, alike in ((100, True), (1900, False)):
+        both = np.concatenate([words[:2000], words[cut : cut + 2000]])
+        grams, counts = neardup.kmers(both, np.array([0, 2000, 4000]))
+        nibbles = [[int(v) >> s & 15 for v in row for s in range(0, 64, 4)] for row in neardup.signatures(grams, counts)]
+        assert (sum(a == b for a, b in zip(*nibbles)) > 32) == alike
+        assert (neardup.overlap(both[:2000], both[2000:]) >= neardup.FLOOR) == alike
+    assert not neardup.signatures(np.zeros(0, np.uint64), np.array([0])).any()
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 50), (60, 100)], "a long, b long")
     got = {r["id"]: r["label"] for r in neardup.components(links).collect()}

@@ -2,14 +2,18 @@
 
 Texts are words; their k-mers are runs of five words, labelled with how often they occurred before in the text. Each
 hash function samples the SAMPLED smallest labelled k-mers and keeps them in the order of the text, so equal sketches
-speak for small edit distance, not only for common k-mers. Bands of sketches deal texts to buckets. Candidates are
-verified by an alignment that must close within the band of insertions and deletions that texts of k-mer similarity
-`threshold` can need: (n + m) * (1 - threshold) / (1 + threshold) words, a ninth of both lengths at 0.8.
+speak for small edit distance, not only for common k-mers. Bands deal texts to buckets: each joins ROWS sketches and
+the minimum of one hash over the k-mers without labels, so that texts that share but one phrase, however often each
+repeats it, are not dealt together. Candidates are verified by an alignment that must close within the band of
+insertions and deletions that texts of k-mer similarity `threshold` can need: (n + m) * (1 - threshold) / (1 +
+threshold) words, a ninth of both lengths at 0.8. Their distinct k-mers must have a similarity of FLOOR too, for the
+same reason.
 
 No pairs within a bucket are enumerated up front. Equal word sequences are settled first, by hash. In each bucket the
 member that shares most is compared with all others; links are joined to components; a bucket that still holds several
 components goes on without that member, with more members of small components each round, until none is left. So all
-pairs of a bucket end up in one component or were compared, and no link between different texts is lost.
+pairs of a bucket end up in one component or were compared, and no link between different texts is lost. Pairs whose
+signatures (below) differ by far more than FLOOR allows are settled by them and never leave the join.
 
 Defined cases: ids name documents, and rows that share an id are versions of one; a null id has no class; null and empty
 texts have no words, and texts without words are copies if they are equal, null being equal to empty; texts of under
@@ -31,9 +35,16 @@ from veilspark.llm.kit import WordScanner, class_of, map_texts, materialize, mix
 
 #: Words of a k-mer, similarity of a link.
 K, THRESHOLD = 5, 0.8
+#: Least similarity of the distinct k-mers of a link, repeats counting once.
+FLOOR = 0.5
 #: Labelled k-mers that a sketch samples; sketches of a band; bands. Two texts of similarity s share a band with
-#: probability about s ** (SAMPLED * ROWS), so at 0.8 they miss all bands in about 3 of 100,000 cases.
-SAMPLED, ROWS, BANDS = 2, 2, 20
+#: probability about s ** (SAMPLED * ROWS + 1), so at 0.8 they miss all bands in about 2 of 100,000 cases.
+SAMPLED, ROWS, BANDS = 2, 2, 28
+#: A signature: 16 four-bit slots in each of so many numbers. A slot holds the least hash of the k-mers dealt to it (1 to
+#: 15), 0 if there are none. Slots that differ are a share of about 1 - s of those in use; a pair of 0.8 has half of
+#: them different in about one of 10 ** 8 cases.
+PARTS = 4
+SIGNATURE = tuple(f"s{i}" for i in range(PARTS))
 
 
 def _constants(n: int, salt: int) -> np.ndarray:
@@ -42,6 +53,8 @@ def _constants(n: int, salt: int) -> np.ndarray:
 
 _A = (_constants(ROWS * BANDS, 1) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (_constants(ROWS * BANDS, 2) >> np.uint64(32)).astype(np.uint32)
+_C = (_constants(BANDS, 3) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_D = (_constants(BANDS, 4) >> np.uint64(32)).astype(np.uint32)
 
 
 def kmers(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,11 +116,40 @@ def band_keys(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     keys = np.zeros((BANDS, len(counts)), np.uint64)
     for r in range(ROWS):
         keys = mix(keys * np.uint64(0xFF51AFD7ED558CCD) + sketches[r * BANDS : (r + 1) * BANDS])
+    plain = (grams >> np.uint64(32)).astype(np.uint32)
+    for band in range(BANDS if len(counts) else 0):
+        least = np.minimum.reduceat(plain * _C[band] + _D[band], starts)
+        keys[band] = mix(keys[band] * np.uint64(0xFF51AFD7ED558CCD) + least)
     return keys.T
 
 
+def signatures(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """texts x PARTS numbers of 16 slots each; repeated k-mers count once."""
+    slots = 16 * PARTS
+    least = np.full(len(counts) * slots, np.iinfo(np.uint64).max, np.uint64)
+    hashed = mix(grams + np.uint64(0xA0761D6478BD642F))
+    np.minimum.at(least, np.repeat(np.arange(len(counts)), counts) * slots + (hashed % np.uint64(slots)).astype(np.int64), hashed)
+    held = np.where(least == np.iinfo(np.uint64).max, np.uint64(0), mix(least) % np.uint64(15) + np.uint64(1))
+    shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return np.bitwise_or.reduce(held.reshape(len(counts), PARTS, 16) << shifts, axis=2)
+
+
+def _slots(x):
+    """How many of the 16 slots of a number are not 0."""
+    pairs = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    return F.bit_count(pairs.bitwiseOR(F.shiftrightunsigned(pairs, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+
+def _alike(left: str, right: str):
+    """Whether at most a share of 1 - FLOOR of the slots in use differs between the signatures under two prefixes."""
+    of = [(F.col(f"{left}{c}"), F.col(f"{right}{c}")) for c in SIGNATURE]
+    differ = sum((_slots(a.bitwiseXOR(b)) for a, b in of[1:]), _slots(of[0][0].bitwiseXOR(of[0][1])))
+    used = sum((_slots(a.bitwiseOR(b)) for a, b in of[1:]), _slots(of[0][0].bitwiseOR(of[0][1])))
+    return differ <= used * (1 - FLOOR)
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest binary of the word sequence, keys array<long>) for each row. Narrow."""
+    """(id, digest binary of the word sequence, keys array<long>, signature) for each row. Narrow."""
 
     def make():
         scan = WordScanner()
@@ -121,15 +163,24 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 own = words[bounds[i] : bounds[i + 1]]
                 digests.append(hashlib.blake2b(own.tobytes() if len(own) else b"text " + (text.as_py() or "").encode(), digest_size=16).digest())
             offsets = np.append(0, np.cumsum((counts > 0) * BANDS)).astype(np.int32)
-            return [pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))]
+            signed = signatures(grams, counts).astype(np.int64)
+            return [pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1))), *(pa.array(c) for c in signed.T.copy())]
 
         return kernel
 
-    return map_texts(docs, [id_col], text_col, [T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))], make, 1 << 20)
+    return map_texts(docs, [id_col], text_col, [T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), *(T.StructField(c, T.LongType()) for c in SIGNATURE)], make, 1 << 20)
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of the distinct k-mers of two word sequences (hashes) that are not empty."""
+    grams, counts = kmers(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+    first, second = np.unique(grams[: counts[0]]), np.unique(grams[counts[0] :])
+    common = len(np.intersect1d(first, second, assume_unique=True))
+    return common / (len(first) + len(second) - common)
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
-    """Whether two word sequences (hashes) are near duplicates.
+    """Whether the alignment of two word sequences (hashes) closes within the band of near duplicates.
 
     Texts whose k-mers have similarity t in order differ by at most (n + m) * (1 - t) / (1 + t) inserted and deleted
     words; that many make the band in which the alignment must close.
@@ -247,7 +298,7 @@ def _word_sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that are similar."""
+    """The pairs (a, b) whose alignment closes and whose distinct k-mers are alike."""
     with_b = pairs.join(words.select(F.col("id").alias("b"), F.col("words").alias("of_b")), "b")
     both = with_b.join(words.select(F.col("id").alias("a"), F.col("words").alias("of_a")), "a").select("a", "b", "of_a", "of_b")
     id_type = pairs.schema["a"].dataType
@@ -256,7 +307,8 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                keep.append(similar(*(np.frombuffer(v.as_buffer(), "<u4").astype(np.uint64) for v in (x, y)), threshold))
+                a, b = (np.frombuffer(v.as_buffer(), "<u4").astype(np.uint64) for v in (x, y))
+                keep.append(overlap(a, b) >= FLOOR and similar(a, b, threshold))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])).distinct()
@@ -290,7 +342,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = materialize(bands.join(shared, "key"), "buckets")
     central = rows.groupBy("id").agg(F.sum("n").alias("weight"))
-    rows = materialize(rows.join(central, "id").select("key", "id", "weight"), "buckets")
+    signed = sketched.select("id", *SIGNATURE).distinct()
+    rows = materialize(rows.join(central, "id").join(signed, "id").select("key", "id", "weight", *SIGNATURE), "buckets")
     release(spark)
     found = None
     if not rows.isEmpty():
@@ -330,7 +383,7 @@ GROWTH = 64
 
 
 def _link(rows: DataFrame, words: DataFrame, threshold: float) -> DataFrame | None:
-    """(node, label) of the members of buckets that are linked; rows are (key, id, weight)."""
+    """(node, label) of the members of buckets that are linked; rows are (key, id, weight, signature)."""
     done = labels = None
     rows = rows.withColumn("label", F.col("id"))
     turn = 0
@@ -342,18 +395,18 @@ def _link(rows: DataFrame, words: DataFrame, threshold: float) -> DataFrame | No
             return labels
         drawn = F.pmod(F.xxhash64("id", F.lit(turn)), F.col("others")) < GROWTH**turn
         centers = rows.join(sizes, "key").where((F.col("id") == F.col("hub")) | ((F.col("label") != F.col("largest")) & drawn) if turn else F.col("id") == F.col("hub"))
-        centers = materialize(centers.select("key", F.col("id").alias("center"), F.col("label").alias("center_label")), "centers")
-        pairs = rows.join(centers, "key").where("label <> center_label").select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b")).distinct()
+        centers = materialize(centers.select("key", F.col("id").alias("center"), F.col("label").alias("center_label"), *(F.col(c).alias(f"center_{c}") for c in SIGNATURE)), "centers")
+        pairs = rows.join(centers, "key").where((F.col("label") != F.col("center_label")) & _alike("", "center_")).select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         done = pairs if done is None else done.unionByName(pairs)
         new = materialize(_verified(pairs, words, threshold), "links")
         labels = _joined(labels, new)
-        left = rows.join(centers, (rows["key"] == centers["key"]) & (rows["id"] == centers["center"]), "left_anti").select("key", "id", "weight")
+        left = rows.join(centers, (rows["key"] == centers["key"]) & (rows["id"] == centers["center"]), "left_anti").select("key", "id", "weight", *SIGNATURE)
         left = left.join(sizes.select("key"), "key", "left_semi")
         if labels is not None:
-            left = left.join(labels, left["id"] == labels["node"], "left").select("key", "id", "weight", F.coalesce("label", "id").alias("label"))
+            left = left.join(labels, left["id"] == labels["node"], "left").select("key", "id", "weight", *SIGNATURE, F.coalesce("label", "id").alias("label"))
         else:
             left = left.withColumn("label", F.col("id"))
         left = materialize(left, "buckets")
