@@ -50,9 +50,10 @@ _HINT = CI + r"IP\d|ХЛ|II[ABC]|Exd|DN|PN|RAL|ОЛ|обосновывающем
 
 def fragments(s: Column) -> Column:
     """array<string>: survey-sheet references first, then the other kinds in pattern order, each once."""
-    absolute = F.concat(matches(s, OL_PHRASE), matches(s, OL_REF))
-    others = F.concat(*[matches(s, p) for p in FRAGMENTS])
-    kept = F.filter(others, lambda x: ~F.exists(absolute, lambda o: (o["a"] <= x["a"]) & (x["b"] <= o["b"])))
+    # one expression over an array of patterns: a copy of it for each would make plans ten times as large
+    found = lambda patterns: F.flatten(F.transform(F.array(*map(F.lit, patterns)), lambda p: matches(s, p)))
+    absolute = found((OL_PHRASE, OL_REF))
+    kept = F.filter(found(FRAGMENTS), lambda x: ~F.exists(absolute, lambda o: (o["a"] <= x["a"]) & (x["b"] <= o["b"])))
     values = F.filter(F.transform(F.concat(absolute, kept), lambda x: F.trim(x["m"], F.lit(" -_/.,;"))), lambda v: v != "")
     start = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("out"))
 

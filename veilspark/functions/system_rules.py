@@ -70,11 +70,18 @@ SPAN_RULES = (
 
 
 def cleanup(df: DataFrame, text: str, only: set[str] | None = None) -> DataFrame:
-    """All system rules (or those named) over one column, then the edges are trimmed. One narrow projection a step."""
-    c = F.col(text)
+    """All system rules (or those named) over one column, then the edges are trimmed.
+
+    Runs of plain replacements nest in one projection; a step that reads its input several times gets one of its own.
+    """
+    c = plain = F.col(text)
     for name, pattern, by in STEPS:
-        if only is None or name in only:
-            # quadratic in token length, and pointless without the letters it ends in
-            new = replace_keep(c, pattern) if by is None else F.regexp_replace(c, pattern, by)
-            df = df.withColumn(text, F.when(c.contains("ТУ"), new).otherwise(c) if name == "attached_tu" else new)
-    return df.withColumn(text, F.regexp_replace(F.trim(c, F.lit(" ,;.-")), r"(?U)^\s+|\s+$", ""))
+        if only is not None and name not in only:
+            continue
+        if by is not None:
+            plain = F.regexp_replace(plain, pattern, by)
+            continue
+        # quadratic in token length, and pointless without the letters it ends in
+        new = F.when(c.contains("ТУ"), replace_keep(c, pattern)).otherwise(c) if name == "attached_tu" else replace_keep(c, pattern)
+        df, plain = df.withColumn(text, plain).withColumn(text, new), c
+    return df.withColumn(text, F.regexp_replace(F.trim(plain, F.lit(" ,;.-")), r"(?U)^\s+|\s+$", ""))

@@ -65,6 +65,7 @@ def anonymize(items: DataFrame, base: RuleBase) -> DataFrame:
 
     Rows that have settled leave the loop; each pass works on the rest, MAX_PASSES at most.
     """
+    base = base.indexed()
     rows = items.select("row_id", F.coalesce("name", F.lit("")).alias("original"), F.coalesce("code", F.lit("")).alias("code"), F.coalesce("factory", F.lit("")).alias("factory"))
     fixed = resolve_factory(rows, base).select("row_id", F.col("factory").alias("fixed_factory"), F.col("inn").alias("fixed_inn"))
     rows = rows.select("row_id", "original").join(fixed, "row_id")

@@ -12,6 +12,8 @@ from veilspark.plans.rulebase import RuleBase
 def anonymize_stream(items: DataFrame, base: RuleBase, out: str, checkpoint: str) -> StreamingQuery:
     """Process all that is there, then stop; each batch is one folder, so a repeated batch replaces itself."""
 
+    base = base.indexed()
+
     def each(batch: DataFrame, epoch: int) -> None:
         anonymize(batch, base).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
 
