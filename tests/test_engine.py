@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import keep, normalize
 from veilspark.functions.dialect import matches
 from veilspark.functions.system_rules import TU_CODE, cleanup
-from veilspark.operators import audit, intervals, layout, resolve, spans
+from veilspark.operators import audit, intervals, layout, pages, resolve, spans
 from veilspark.operators.anonymize import GREEN, REASON, YELLOW, anonymize
 from veilspark.plans import catalog, rulebase
 from veilspark.plans.rulebase import ALIASES, GLOBALS, MARKERS, REGISTRY, RULES, RuleBase
@@ -109,6 +109,44 @@ def test_layout(spark):
     assert [r["ord"] for r in layout.dedupe_rects(rects).orderBy("ord").collect()] == [0, 2]
 
 
+def test_pages(spark, base):
+    texts = [
+        (1, 0, "Поставщик ИНН", 100.0), (1, 1, "5904184047", 120.0), (1, 2, "Датчик IP65", 300.0), (1, 3, "узел ИНН 7700000001", 400.0), (1, 4, "м 2 7700000001 шт", 500.0), (1, 5, "Труба ТУ 2531-", 700.0),
+        (2, 0, "002-53597015-12", 100.0), (2, 1, "002-53597015-13", 130.0), (2, 2, "КШГ 71.100.050.А.16\nDN50", 300.0), (3, 0, "456101 Кран РП-7", 100.0), (3, 1, "РП-8 насос", 101.0), (3, 2, "РП-9 насос", 300.0),
+    ]
+    chars = []
+    for page, block, text, y in texts:
+        for line, row in enumerate(text.split("\n")):
+            chars += [("f", page, block, line, 0, i, c, 10.0 * i, y + 12 * line, 10.0 * i + 9, y + 12 * line + 10) for i, c in enumerate(row)]
+    chars = spark.createDataFrame(chars, "file string, page int, block int, line int, span int, idx int, ch string, x0 double, y0 double, x1 double, y1 double")
+    found, placed = pages.block_texts(chars)
+    assert {(r["page"], r["block"], r["text"]) for r in found.collect()} == {t[:3] for t in texts}
+    blocks = found.withColumn("page_h", F.lit(800.0))
+    merged, context = pages.page_spans(blocks, base)
+    got = {(r["page"], r["block"], r["a"], r["b"]): r["label"] for r in merged.collect()}
+    assert got[1, 1, 0, 10] == "inn_continuation" and got[1, 3, 5, 19] == "contact;known_inn" and got[1, 4, 4, 14] == "inn_cross_block"
+    assert got[2, 0, 0, 15] == "tu_continuation" and got[2, 2, 0, 3] == "context:КШГ" and got[2, 2, 4, 19] == "context:КШГ-model"
+    assert got[3, 0, 12, 16] == "rule:РП-" == got[3, 1, 0, 4]  # by its own code, by the code on its row
+    assert not [k for k in got if k[:2] in ((1, 2), (2, 1), (3, 2))]
+    rects = pages.page_rects(merged, placed)
+    box = rects.where("page = 2 and ord.block = 0").first()
+    assert (box["x0"], box["x1"], round(box["y0"], 3), round(box["y1"], 3)) == (0.0, 149.0, 105.5, 106.2)
+    whole = pages.page_rects(merged, placed, spark.createDataFrame([("f", 2)], "file string, page int")).where("page = 2 and ord.block = 0").first()
+    assert (round(whole["x0"], 3), round(whole["y1"], 3)) == (-0.8, 110.8)
+    listed = spark.createDataFrame([("f", 1, False, False), ("f", 2, False, False), ("g", 1, True, False), ("h", 1, False, False)], "file string, page int, recognized boolean, failed boolean")
+    report = {r["file"]: r for r in pages.page_report(blocks, merged, context, rects, listed).collect()}
+    assert [report[f]["outcome"] for f in "fgh"] == ["ok", "review", "error"]
+    assert (report["f"]["pages"], report["f"]["blocks"], report["f"]["tu_continuations"], report["f"]["context_models"]) == (2, 12, 1, 1)
+    assert one(spark, ["   12345678901 ", "123456789012", None], pages.needs_recognition) == [True, False, True]
+
+
+def test_file_report(spark):
+    rows = spark.createDataFrame([(0, "f", "a"), (1, "f", "b"), (2, "g", "a")], "row_id int, file string, sheet string")
+    out = audit.with_fill(spark.createDataFrame([(0, True, GREEN), (1, False, YELLOW), (2, True, YELLOW)], "row_id int, changed boolean, status string"))
+    assert [r["fill"] for r in out.orderBy("row_id").collect()] == ["D9EAD3", "FFF2CC", "FFF2CC"]
+    assert sorted(tuple(r) for r in audit.file_report(rows, out).collect()) == [("f", 2, 1, 1, 1, 2), ("g", 1, 1, 0, 1, 1)]
+
+
 def test_sheets(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("Код;Наименование;Завод\n456101;Насос РП-1;x\n;;\n".encode("cp1251"))
     (tmp_path / "bad.csv").write_bytes(b"x")

@@ -19,6 +19,21 @@ def report(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("rows"), count(F.col("changed"))("changed"), count(F.col("status") == GREEN)("green"), count(F.col("status") == YELLOW)("yellow"))
 
 
+def file_report(items: DataFrame, results: DataFrame) -> DataFrame:
+    """One row a file of items (row_id, file, sheet): the counters of report(), and how many sheets had items."""
+    both = items.select("row_id", "file", "sheet").join(results.select("row_id", "changed", "status"), "row_id")
+    count = lambda c: F.count(F.when(c, 1)).alias
+    return both.groupBy("file").agg(F.count("*").alias("rows"), count(F.col("changed"))("changed"), count(F.col("status") == GREEN)("green"), count(F.col("status") == YELLOW)("yellow"), F.count_distinct("sheet").alias("sheets"))
+
+
+def with_fill(results: DataFrame) -> DataFrame:
+    """Results plus `fill`, the colour that a sheet shows a status in."""
+    fill = F.lit(None).cast("string")
+    for status, colour in FILLS.items():
+        fill = F.when(F.col("status") == status, colour).otherwise(fill)
+    return results.withColumn("fill", fill)
+
+
 def audits(items: DataFrame, results: DataFrame, base: RuleBase) -> DataFrame:
     """One row: keep_losses, idempotence_failures, residual_confirmed (rows)."""
     both = items.select("row_id", "name", "code", "factory").join(results.select("row_id", "text"), "row_id")
