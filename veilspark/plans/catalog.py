@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import normalize as N
 from veilspark.functions.keep import fragments, keep_signature, replace_keep
-from veilspark.functions.system_rules import ARTICLE, CONTACT, LETTER_TAIL, REQUEST, TU_CODE, cleanup
-from veilspark.operators import audit, intervals, layout, resolve, spans
+from veilspark.functions.system_rules import ARTICLE, COMMERCIAL_DANGLING, CONTACT, LETTER_TAIL, REQUEST, ROLE_ORG, TU_CODE, cleanup
+from veilspark.operators import audit, intervals, layout, pages, resolve, spans
 from veilspark.operators.anonymize import anonymize
 from veilspark.plans import synth
 from veilspark.plans.synth import INN_SQL, NAME_SQL, table
@@ -159,6 +159,40 @@ def redact_letter_refs(spark, sf_dir):
     return rows.select("row_id", F.regexp_replace(F.regexp_replace("text", LETTER_TAIL, " "), REQUEST, " ").alias("redacted"))
 
 
+def _parts(spark, sf_dir, text):
+    return table(spark, sf_dir, "part").selectExpr("p_partkey as row_id", f"{text} as text")
+
+
+@query("SELECT p_partkey AS row_id, 'Насос  , DN' || p_size AS redacted FROM part")
+def redact_orgs(spark, sf_dir):
+    rows = _parts(spark, sf_dir, "concat('Насос изготовитель: ООО \"Завод ', cast(p_partkey as string), '\", DN', cast(p_size as string))")
+    return rows.select("row_id", F.regexp_replace("text", ROLE_ORG, " ").alias("redacted"))
+
+
+@query("SELECT p_partkey AS row_id, 'Кран DN' || p_size || '.  ; лист' AS redacted FROM part")
+def redact_commercial(spark, sf_dir):
+    rows = _parts(spark, sf_dir, "concat('Кран DN', cast(p_size as string), '. Прайс лист № ', cast(p_partkey as string), ' от 12.03.2019 поз. 3; лист')")
+    return rows.select("row_id", F.regexp_replace("text", COMMERCIAL_DANGLING, " ").alias("redacted"))
+
+
+@query("SELECT p_partkey AS row_id, 'Болт, лист М' || p_size AS redacted FROM part")
+def tidy_punct(spark, sf_dir):
+    rows = _parts(spark, sf_dir, "concat(' Болт  ,, лист ( ) М', cast(p_size as string), ' ;')")
+    return cleanup(rows, "text", {"tidy"}).withColumnRenamed("text", "redacted")
+
+
+@query("SELECT p_partkey AS row_id, 'Изделие ' || p_size || '  IP65  лист' AS redacted FROM part")
+def replace_kept(spark, sf_dir):
+    rows = _parts(spark, sf_dir, "concat('Изделие ', cast(p_size as string), ' ТУ ', cast(p_partkey as string), '-IP65 лист')")
+    return rows.select("row_id", replace_keep(F.col("text"), TU_CODE).alias("redacted"))
+
+
+@query(f"WITH {_SUPPLIER} SELECT s_suppkey AS row_id, 'ромашка-' || s_suppkey || '-прибор' AS alias_norm, inn FROM s")
+def alias_longest(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as row_id", "concat('склад ромашка-', cast(s_suppkey as string), '-прибор юг') as text")
+    return resolve.longest_alias(rows, synth.rule_base(spark, sf_dir), "text")
+
+
 @query(rf"""WITH {_ITEMS} SELECT row_id, trim(regexp_replace(regexp_replace(regexp_replace(
  regexp_replace(name, 'ТУ [0-9][0-9-]+|арт\. [0-9/-]+|ИНН [0-9]+|Заявка № [0-9]+/а|www\.\S+', ' ', 'g'), '\s+', ' ', 'g'), '\s+([,;:.])', '\1', 'g'), '([,;])\s*([,;])+', '\1', 'g'), ' ,;.-') AS text FROM items""")
 def system_rules(spark, sf_dir):
@@ -207,6 +241,34 @@ def inn_continuation(spark, sf_dir):
     return layout.continuation_spans(synth.blocks(spark, sf_dir)).select("page", "block", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "label")
 
 
+# an order may repeat a line number: what these two derive from lines is the same for such rows
+@query("""SELECT DISTINCT CAST(l_orderkey AS INTEGER) AS page, CAST(l_linenumber AS INTEGER) AS block, CAST(100000 + (l_orderkey + l_linenumber * 7) % 40 AS VARCHAR) AS code
+FROM lineitem WHERE (l_orderkey + l_linenumber * 7) % 40 IN (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 20)""")
+def block_codes(spark, sf_dir):
+    labelled = "case cast(l_linenumber % 2 as integer) when 0 then 'Кран, код № ' else '' end"
+    df = table(spark, sf_dir, "lineitem").selectExpr("'f' as file", "cast(l_orderkey as int) as page", "cast(l_linenumber as int) as block", f"concat({labelled}, cast(100000 + (l_orderkey + l_linenumber * 7) % 40 as string), ' DN50') as text")
+    return layout.block_codes(df, synth.rule_base(spark, sf_dir)).select("page", "block", "code")
+
+
+@query("""WITH t AS (SELECT l_orderkey AS page, l_linenumber AS block, l_linenumber % 2 = 1 AS org, l_linenumber * (80 + l_orderkey % 30) AS y FROM lineitem),
+ n AS (SELECT *, lag(org) OVER w AS p_org, lag(y) OVER w AS p_y, lead(org) OVER w AS n_org, lead(y) OVER w AS n_y FROM t WINDOW w AS (PARTITION BY page ORDER BY block))
+SELECT CAST(page AS INTEGER) AS page, CAST(block AS INTEGER) AS block, CAST(0 AS BIGINT) AS a, CAST(length('завод, ИНН 5904184047') AS BIGINT) AS b, 'supplier_org_continuation' AS label FROM n WHERE NOT org AND p_org AND abs(y - p_y - 60) <= 35
+UNION ALL SELECT page, block, length('Поставщик '), length('Поставщик ООО Калужский'), 'supplier_org_wrapped' FROM n WHERE org AND NOT n_org AND abs(n_y - y - 60) <= 35""")
+def org_wrapped(spark, sf_dir):
+    text = "case cast(l_linenumber % 2 as integer) when 1 then 'Поставщик ООО Калужский' else 'завод, ИНН 5904184047, DN50' end"
+    top = "cast(l_linenumber * (80 + l_orderkey % 30) as double)"
+    df = table(spark, sf_dir, "lineitem").selectExpr("'f' as file", "cast(l_orderkey as int) as page", "cast(l_linenumber as int) as block", f"{text} as text", "0.0D as x0", f"{top} as y0", "200.0D as x1", f"{top} + 60 as y1")
+    return layout.continuation_spans(df).select("page", "block", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "label")
+
+
+@query()
+def page_spans(spark, sf_dir):
+    """All spans of all blocks, those that only the layout proves included."""
+    order = Window.partitionBy("page").orderBy("block", "x0", "y0", "text")
+    df = synth.blocks(spark, sf_dir).withColumn("block", F.row_number().over(order))  # an order may repeat a line number
+    return pages.page_spans(df, synth.rule_base(spark, sf_dir))[0].select("page", "block", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "label")
+
+
 @query(f"""WITH {_BLOCKS}, broken AS (SELECT DISTINCT page + 1 AS page FROM blk WHERE y0 >= 480 AND kind = 2)
 SELECT blk.page, min(block) AS block, CAST(15 AS BIGINT) AS b FROM blk JOIN broken USING (page) WHERE kind = 3 AND y0 < 170 GROUP BY blk.page""")
 def tu_cross_page(spark, sf_dir):
