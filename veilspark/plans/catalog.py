@@ -253,7 +253,7 @@ def block_codes(spark, sf_dir):
 @query("""WITH t AS (SELECT l_orderkey AS page, l_linenumber AS block, l_linenumber % 2 = 1 AS org, l_linenumber * (80 + l_orderkey % 30) AS y FROM lineitem),
  n AS (SELECT *, lag(org) OVER w AS p_org, lag(y) OVER w AS p_y, lead(org) OVER w AS n_org, lead(y) OVER w AS n_y FROM t WINDOW w AS (PARTITION BY page ORDER BY block))
 SELECT CAST(page AS INTEGER) AS page, CAST(block AS INTEGER) AS block, CAST(0 AS BIGINT) AS a, CAST(length('завод, ИНН 5904184047') AS BIGINT) AS b, 'supplier_org_continuation' AS label FROM n WHERE NOT org AND p_org AND abs(y - p_y - 60) <= 35
-UNION ALL SELECT page, block, length('Поставщик '), length('Поставщик ООО Калужский'), 'supplier_org_wrapped' FROM n WHERE org AND NOT n_org AND abs(n_y - y - 60) <= 35""")
+UNION ALL SELECT CAST(page AS INTEGER), CAST(block AS INTEGER), length('Поставщик '), length('Поставщик ООО Калужский'), 'supplier_org_wrapped' FROM n WHERE org AND NOT n_org AND abs(n_y - y - 60) <= 35""")
 def org_wrapped(spark, sf_dir):
     text = "case cast(l_linenumber % 2 as integer) when 1 then 'Поставщик ООО Калужский' else 'завод, ИНН 5904184047, DN50' end"
     top = "cast(l_linenumber * (80 + l_orderkey % 30) as double)"
