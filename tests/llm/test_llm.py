@@ -118,6 +118,39 @@ def test_decontamination_blocks_meet(spark):
     assert rows(decontaminate.decontaminate(d, b)) == rows(decontaminate.decontaminate(d, b, block_windows=100))
 
 
+def test_proximity_against_brute_force(spark):
+    """n_near: items of which a window's words all lie within reach of its rarest one, though none occurs exactly."""
+    import random
+
+    rng = random.Random(11)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(30)]
+    word = lambda: rng.choice(common if rng.random() < 0.7 else rare)
+    items = [[word() for _ in range(rng.choice((3, 8, 10)))] for _ in range(25)]
+    texts = []
+    for n in range(60):
+        words, item = [word() for _ in range(rng.randrange(60))], list(rng.choice(items))
+        if n % 2:
+            rng.shuffle(item)
+        at = rng.randrange(len(words) + 1)
+        texts.append(words[:at] + item + words[at:])
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_items"], r["n_near"]) for r in decontaminate.decontaminate(docs(spark, [" ".join(t) for t in texts]), bench).collect()}
+    frequency = Counter(w for t in texts for w in set(t))
+    want = {}
+    for d, t in enumerate(texts):
+        exact, near = set(), set()
+        for i, w in enumerate(items):
+            size = min(8, len(w))
+            for own in (w[a : a + size] for a in range(len(w) - size + 1)):
+                if any(t[a : a + size] == own for a in range(len(t) - size + 1)):
+                    exact.add(i)
+                rarest = min(own, key=lambda x: frequency[x])
+                if any(x == rarest and all(y in t[max(0, p - 16) : p + 17] for y in own) for p, x in enumerate(t)):
+                    near.add(i)
+        want[d] = (len(exact), len(near - exact))
+    assert got == want and any(n for _, n in want.values()) and any(n for n, _ in want.values())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=5, max_size=40), st.lists(st.integers(0, 3), min_size=5, max_size=40))
 def test_alignment(a, b):
@@ -285,7 +318,9 @@ def test_sql(spark, name):
     for t in ("documents", "benchmark", "embeddings", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(queries.ORACLE_SQL[name])
-    got = queries.QUERIES[name](spark, SF).select(*want.columns)
+    got = queries.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(want.columns)
+    got = got.select(*want.columns)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
 
 
