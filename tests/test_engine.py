@@ -11,7 +11,7 @@ from veilspark.operators import audit, intervals, layout, pages, resolve, spans
 from veilspark.operators.anonymize import GREEN, REASON, YELLOW, anonymize
 from veilspark.plans import catalog, rulebase
 from veilspark.plans.rulebase import ALIASES, GLOBALS, MARKERS, REGISTRY, RULES, RuleBase
-from veilspark.sources import sheets
+from veilspark.sources import sheets, workbooks
 
 SF = "/root/testdata/sf0.001"
 
@@ -156,6 +156,22 @@ def test_sheets(spark, tmp_path):
     assert cells.where("data_type = 'failed'").count() == 1
 
 
+def test_workbooks(spark, tmp_path):
+    rows = [("готово", 2, 1, "Код", "s"), ("готово", 2, 2, "Наименование", "s"), ("готово", 2, 3, "Завод", "s"), ("готово", 2, 4, "Статус", "s"), ("готово", 3, 1, "456101", "n"), ("готово", 3, 2, "Насос <РП-1> & \x01", "s"),
+            ("готово", 3, 3, "x", "s"), ("готово", 4, 1, "7", "n"), ("готово", 4, 2, "Болт", "s"), ("a", 30, 28, " b ", "s")]
+    cells = spark.createDataFrame([("/in/m.xlsx", *r) for r in rows], sheets.CELLS)
+    results = spark.createDataFrame([("/in/m.xlsx", "готово", 3, "Насос", GREEN), ("/in/m.xlsx", "готово", 4, "Болт", YELLOW)], "file string, sheet string, r int, text string, status string")
+    placed = workbooks.place_results(cells, sheets.find_headers(cells), results)
+    fills = {(r["r"], r["c"]): r["fill"] for r in placed.where("fill is not null").collect()}
+    assert fills == {(2, 5): "D9EAF7", (2, 4): "D9EAF7", (3, 4): "D9EAD3", (3, 1): "D9EAD3", (4, 4): "FFF2CC", (4, 1): "FFF2CC"}
+    workbooks.save_workbooks(workbooks.workbooks(placed), str(tmp_path))
+    assert [p.name for p in tmp_path.iterdir()] == ["m_обезличено.xlsx"]
+    read = {(r["sheet"], r["r"], r["c"]): r["value"] for r in sheets.read_workbooks(spark, str(tmp_path)).collect()}
+    want = {(s, r, c): v for s, r, c, v, _ in rows} | {("готово", 3, 2): "Насос <РП-1> & ", ("готово", 2, 5): workbooks.RESULT, ("готово", 3, 5): "Насос", ("готово", 3, 4): GREEN, ("готово", 4, 5): "Болт", ("готово", 4, 4): YELLOW}
+    del want["готово", 3, 3]  # the factory is blank
+    assert read == want
+
+
 def test_batch(spark):
     files = spark.createDataFrame([(0, "a.csv"), (1, "a.csv"), (2, "b_обезличено.csv"), (3, "c.txt"), (4, "d.XLSX")], "ord int, path string")
     assert sorted(r["path"] for r in audit.supported_files(files).collect()) == ["a.csv", "d.XLSX"]
