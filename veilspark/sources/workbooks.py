@@ -21,7 +21,7 @@ from veilspark.operators.audit import FILLS, output_path, with_fill
 RESULT, STATUS, HEADER_FILL = "Обезличенное наименование", "Статус", "D9EAF7"
 WIDTHS = {RESULT: 40, STATUS: 15}
 _COLOURS = (HEADER_FILL, *FILLS.values())
-_ILLEGAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
+_ILLEGAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006"
