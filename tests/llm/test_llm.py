@@ -67,6 +67,22 @@ def test_secret_constants_and_mask():
     assert secrets.mask(t, secrets.find_secrets(t)) == 'seed = "[SECRET]"\nconnection_pwd = seed\n'
 
 
+@pytest.mark.parametrize("quote", ['"', "'"])
+@pytest.mark.parametrize("size", [512, 513, 1700, 300_000])
+def test_secret_literals_of_any_length(quote, size):
+    value = ("-----BEGIN PRIVATE KEY-----\\n" + "MIIEvQ+/IBADAN Bgk7" * (size // 19 + 1))[:size]
+    t = f"{quote}private_key{quote}: {quote}{value}{quote}, x\nseed = {quote}{value}{quote}\n" + "bearer_pwd = seed\n" * 2000
+    found = secrets.find_secrets(t)
+    second = t.index("seed = ") + 8
+    assert ("named", 16, 16 + size) in found and ("const", second, second + size) in found
+    assert value not in secrets.mask(t, found)
+
+
+def test_unclosed_literals_end_at_the_line():
+    t = "pwd = \"" + "aB3$x" * 200 + "\nx = \"y\"\n" + "pwd='" * 30_000
+    assert all("\n" not in t[a:b] for _, a, b in secrets.find_secrets(t))
+
+
 def test_more_pii():
     t = "see https://x.example/a, IBAN GB82 WEST 1234 5698 7654 32, 12 High Oak Street"
     assert {s[0] for s in pii.find_pii(t, AUTOMATON)} >= {"url", "iban", "address"}

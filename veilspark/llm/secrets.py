@@ -35,7 +35,8 @@ _VALUE = re.compile(r" *[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
-_LITERAL = re.compile(r"[:=]?=?>? *(?:\"([^\"\n]{0,512})\"|'([^'\n]{0,512})'|([A-Za-z0-9+/_.=-]+))")
+#: Quoted literals end at the next quote of their kind or fail at the end of the line, so the work stays linear.
+_LITERAL = re.compile(r"[:=]?=?>? *(?:\"([^\"\n]*+)\"|'([^'\n]*+)'|([A-Za-z0-9+/_.=-]+))")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 
 #: How sensitive a target name is, by the parts it is written in.
@@ -78,6 +79,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of one text by start, then kind; code points, end exclusive."""
     found: list[tuple[str, int, int]] = []
     constants: dict[str, tuple[int, int]] = {}
+    strong: dict[tuple[int, int], bool] = {}  # by span, as many names may stand for one long literal
     base_from = 0
     for operator in _OPERATOR.finditer(text):
         at = operator.start()
@@ -97,9 +99,13 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
         score = name_score(name)
         known = constants.get(value) if bare and _IDENTIFIER.match(value) else None
         if known:
-            span, value = known, text[known[0] : known[1]]
+            span = known
         constants[name] = span
-        if score >= NAMED_SCORE and len(value) >= NAMED_LENGTH and _entropy(value) >= NAMED_ENTROPY and (known or not bare or not _IDENTIFIER.match(value)):
+        if score >= NAMED_SCORE and span[1] - span[0] >= NAMED_LENGTH and (known or not bare or not _IDENTIFIER.match(value)):
+            if span not in strong:
+                strong[span] = _entropy(text[span[0] : span[1]]) >= NAMED_ENTROPY
+            if not strong[span]:
+                continue
             found.append(("const" if known else "named", *span))
     found += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
