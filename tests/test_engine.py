@@ -104,6 +104,22 @@ def test_spans(spark, base):
     assert sorted(tuple(r) for r in cut.select("a", "b").collect()) == [(0, 3), (6, 10)]
 
 
+def test_rules_by_name(spark, base):
+    """Rules without an inn go by the maker's name, however the maker was found, unless its inn has rules of its own."""
+    make = spark.createDataFrame
+    named = RuleBase(
+        base.rules.unionByName(make([(2, "", "ООО Заря-Кран", "ЗР-", "Начало фирменного обозначения", ""), (3, None, "Вектор-Арматура", "ВА-", "Начало фирменного обозначения", "")], RULES)),
+        base.aliases.unionByName(make([(3, "7700000003", "Заря-Кран", 'АО "Заря-Кран"')], ALIASES)),
+        base.registry.unionByName(make([("456103", "Заря-Кран")], REGISTRY)),
+        base.markers.unionByName(make([(1, "ТУ 0000-003-00000003", "7700000003", "")], MARKERS)),
+        base.globals,
+    )
+    rows = [(0, "Кран ЗР-15 ИНН 7700000003", "", ""), (1, "Кран ЗР-16", "456103", ""), (2, "Кран ЗР-17 ТУ 0000-003-00000003", "", ""), (3, "Кран ЗР-18", "", ""), (4, "Кран ВА-19 ВЕКТА 15 ИНН 7700000002", "", "")]
+    rows = make(rows, "row_id int, text string, code string, factory string")
+    got = [(r["row_id"], r["label"]) for r in spans.redaction_spans(rows, named).where("label like '%rule:%'").orderBy("row_id", "a").collect()]
+    assert got == [(0, "rule:ЗР-"), (1, "rule:ЗР-"), (2, "rule:ЗР-"), (4, "rule:ВЕКТА")]
+
+
 def test_layout(spark):
     rects = spark.createDataFrame([("f", 1, 0, 0.0, 0.0, 9.0, 9.0), ("f", 1, 1, 0.4, 0.4, 9.4, 9.4), ("f", 1, 2, 0.6, 0.0, 9.0, 9.0)], "file string, page int, ord int, x0 double, y0 double, x1 double, y1 double")
     assert [r["ord"] for r in layout.dedupe_rects(rects).orderBy("ord").collect()] == [0, 2]
