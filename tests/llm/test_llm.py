@@ -213,6 +213,18 @@ def test_near_duplicates_settle_skew(spark):
     assert got == {i: 0 if i < 60 else i for i in range(120)}
 
 
+def test_near_copies_of_repetitive_texts(spark):
+    """Shingles counted with repeats make a link too: 60 times a line of ten words, three words changed in the copy."""
+    line = [f"w{i}" for i in range(10)]
+    copy = line * 60
+    for at in (52, 255, 458):
+        copy[at] = f"x{at}"
+    a, b = (np.array([int(hashlib.md5(w.encode()).hexdigest()[:12], 16) for w in t], np.uint64) for t in (line * 60, copy))
+    assert neardup.overlap(a, b) < neardup.FLOOR and neardup.overlap(a, b, counted=True) > 0.9
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs(spark, [" ".join(line * 60), " ".join(copy), "something else that stays alone here"])).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+
+
 def test_signatures_follow_similarity():
     rng = np.random.default_rng(5)
     words = rng.integers(0, 2**63, 4000).astype(np.uint64)

@@ -7,7 +7,7 @@ the minimum of one hash over the k-mers without labels, so that texts that share
 repeats it, are not dealt together. Candidates are verified by an alignment that must close within the band of
 insertions and deletions that texts of k-mer similarity `threshold` can need: (n + m) * (1 - threshold) / (1 +
 threshold) words, a ninth of both lengths at 0.8. Their distinct k-mers must have a similarity of FLOOR too, for the
-same reason.
+same reason, unless their labelled ones have a similarity of `threshold`.
 
 No pairs within a bucket are enumerated up front. Equal word sequences are settled first, by hash. In each bucket the
 member that shares most is compared with all others; links are joined to components; a bucket that still holds several
@@ -45,6 +45,11 @@ SAMPLED, ROWS, BANDS = 2, 2, 28
 #: them different in about one of 10 ** 8 cases.
 PARTS = 4
 SIGNATURE = tuple(f"s{i}" for i in range(PARTS))
+#: The same of the labelled k-mers; both.
+COUNTED = tuple(f"c{i}" for i in range(PARTS))
+SIGNED = SIGNATURE + COUNTED
+#: Labelled slots may differ by this share more than `threshold` allows: four standard errors of 64 slots at 0.8.
+SLACK = 0.2
 
 
 def _constants(n: int, salt: int) -> np.ndarray:
@@ -140,16 +145,21 @@ def _slots(x):
     return F.bit_count(pairs.bitwiseOR(F.shiftrightunsigned(pairs, 2)).bitwiseAND(F.lit(0x1111111111111111)))
 
 
-def _alike(left: str, right: str):
-    """Whether at most a share of 1 - FLOOR of the slots in use differs between the signatures under two prefixes."""
-    of = [(F.col(f"{left}{c}"), F.col(f"{right}{c}")) for c in SIGNATURE]
+def _within(left: str, right: str, columns: tuple[str, ...], least: float):
+    """Whether at most a share of 1 - least of the slots in use differs between the signatures under two prefixes."""
+    of = [(F.col(f"{left}{c}"), F.col(f"{right}{c}")) for c in columns]
     differ = sum((_slots(a.bitwiseXOR(b)) for a, b in of[1:]), _slots(of[0][0].bitwiseXOR(of[0][1])))
     used = sum((_slots(a.bitwiseOR(b)) for a, b in of[1:]), _slots(of[0][0].bitwiseOR(of[0][1])))
-    return differ <= used * (1 - FLOOR)
+    return differ <= used * (1 - least)
+
+
+def _alike(left: str, right: str, threshold: float = THRESHOLD):
+    """Whether the signatures under two prefixes leave open that distinct k-mers reach FLOOR or labelled ones `threshold`."""
+    return _within(left, right, SIGNATURE, FLOOR) | _within(left, right, COUNTED, threshold - SLACK)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest binary of the word sequence, keys array<long>, signature) for each row. Narrow."""
+    """(id, digest binary of the word sequence, keys array<long>, signatures) for each row. Narrow."""
 
     def make():
         scan = WordScanner()
@@ -163,17 +173,18 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 own = words[bounds[i] : bounds[i + 1]]
                 digests.append(hashlib.blake2b(own.tobytes() if len(own) else b"text " + (text.as_py() or "").encode(), digest_size=16).digest())
             offsets = np.append(0, np.cumsum((counts > 0) * BANDS)).astype(np.int32)
-            signed = signatures(grams, counts).astype(np.int64)
+            signed = np.concatenate([signatures(grams, counts), signatures(labelled(grams, counts), counts)], axis=1).astype(np.int64)
             return [pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1))), *(pa.array(c) for c in signed.T.copy())]
 
         return kernel
 
-    return map_texts(docs, [id_col], text_col, [T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), *(T.StructField(c, T.LongType()) for c in SIGNATURE)], make, 1 << 20)
+    return map_texts(docs, [id_col], text_col, [T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), *(T.StructField(c, T.LongType()) for c in SIGNED)], make, 1 << 20)
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of the distinct k-mers of two word sequences (hashes) that are not empty."""
+def overlap(a: np.ndarray, b: np.ndarray, counted: bool = False) -> float:
+    """Similarity of the distinct k-mers of two word sequences (hashes) that are not empty, or of the labelled ones."""
     grams, counts = kmers(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+    grams = labelled(grams, counts) if counted else grams
     first, second = np.unique(grams[: counts[0]]), np.unique(grams[counts[0] :])
     common = len(np.intersect1d(first, second, assume_unique=True))
     return common / (len(first) + len(second) - common)
@@ -298,7 +309,7 @@ def _word_sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose alignment closes and whose distinct k-mers are alike."""
+    """The pairs (a, b) whose alignment closes and whose distinct or labelled k-mers are alike."""
     with_b = pairs.join(words.select(F.col("id").alias("b"), F.col("words").alias("of_b")), "b")
     both = with_b.join(words.select(F.col("id").alias("a"), F.col("words").alias("of_a")), "a").select("a", "b", "of_a", "of_b")
     id_type = pairs.schema["a"].dataType
@@ -308,7 +319,7 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = (np.frombuffer(v.as_buffer(), "<u4").astype(np.uint64) for v in (x, y))
-                keep.append(overlap(a, b) >= FLOOR and similar(a, b, threshold))
+                keep.append((overlap(a, b) >= FLOOR or overlap(a, b, counted=True) >= threshold) and similar(a, b, threshold))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])).distinct()
@@ -342,8 +353,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = materialize(bands.join(shared, "key"), "buckets")
     central = rows.groupBy("id").agg(F.sum("n").alias("weight"))
-    signed = sketched.select("id", *SIGNATURE).distinct()
-    rows = materialize(rows.join(central, "id").join(signed, "id").select("key", "id", "weight", *SIGNATURE), "buckets")
+    signed = sketched.select("id", *SIGNED).distinct()
+    rows = materialize(rows.join(central, "id").join(signed, "id").select("key", "id", "weight", *SIGNED), "buckets")
     release(spark)
     found = None
     if not rows.isEmpty():
@@ -383,7 +394,7 @@ GROWTH = 64
 
 
 def _link(rows: DataFrame, words: DataFrame, threshold: float) -> DataFrame | None:
-    """(node, label) of the members of buckets that are linked; rows are (key, id, weight, signature)."""
+    """(node, label) of the members of buckets that are linked; rows are (key, id, weight, signatures)."""
     done = labels = None
     rows = rows.withColumn("label", F.col("id"))
     turn = 0
@@ -395,18 +406,18 @@ def _link(rows: DataFrame, words: DataFrame, threshold: float) -> DataFrame | No
             return labels
         drawn = F.pmod(F.xxhash64("id", F.lit(turn)), F.col("others")) < GROWTH**turn
         centers = rows.join(sizes, "key").where((F.col("id") == F.col("hub")) | ((F.col("label") != F.col("largest")) & drawn) if turn else F.col("id") == F.col("hub"))
-        centers = materialize(centers.select("key", F.col("id").alias("center"), F.col("label").alias("center_label"), *(F.col(c).alias(f"center_{c}") for c in SIGNATURE)), "centers")
-        pairs = rows.join(centers, "key").where((F.col("label") != F.col("center_label")) & _alike("", "center_")).select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b")).distinct()
+        centers = materialize(centers.select("key", F.col("id").alias("center"), F.col("label").alias("center_label"), *(F.col(c).alias(f"center_{c}") for c in SIGNED)), "centers")
+        pairs = rows.join(centers, "key").where((F.col("label") != F.col("center_label")) & _alike("", "center_", threshold)).select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         done = pairs if done is None else done.unionByName(pairs)
         new = materialize(_verified(pairs, words, threshold), "links")
         labels = _joined(labels, new)
-        left = rows.join(centers, (rows["key"] == centers["key"]) & (rows["id"] == centers["center"]), "left_anti").select("key", "id", "weight", *SIGNATURE)
+        left = rows.join(centers, (rows["key"] == centers["key"]) & (rows["id"] == centers["center"]), "left_anti").select("key", "id", "weight", *SIGNED)
         left = left.join(sizes.select("key"), "key", "left_semi")
         if labels is not None:
-            left = left.join(labels, left["id"] == labels["node"], "left").select("key", "id", "weight", *SIGNATURE, F.coalesce("label", "id").alias("label"))
+            left = left.join(labels, left["id"] == labels["node"], "left").select("key", "id", "weight", *SIGNED, F.coalesce("label", "id").alias("label"))
         else:
             left = left.withColumn("label", F.col("id"))
         left = materialize(left, "buckets")
