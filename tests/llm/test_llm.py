@@ -237,6 +237,24 @@ def test_signatures_follow_similarity():
     assert not neardup.signatures(np.zeros(0, np.uint64), np.array([0])).any()
 
 
+def test_signatures_leave_pairs_near_the_floor(spark):
+    """Pairs of a distinct similarity of FLOOR or just above go to the exact comparison."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for n in (40, 100, 400) * 60:
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = a.copy()
+        b[5 + np.arange(n // 17) * 16] = rng.integers(0, 2**63, n // 17)
+        assert neardup.FLOOR <= neardup.overlap(a, b) < 0.62 and neardup.similar(a, b)
+        grams, counts = neardup.kmers(np.concatenate([a, b]), np.array([0, n, 2 * n]))
+        signed = np.concatenate([neardup.signatures(grams, counts), neardup.signatures(neardup.labelled(grams, counts), counts)], axis=1)
+        rows.append(tuple(signed.astype(np.int64).reshape(-1).tolist()))
+    names = [f"{p}{c}" for p in ("a_", "b_") for c in neardup.SIGNED]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in names))
+    assert df.where(neardup._alike("a_", "b_")).count() == len(rows)
+    assert df.where(neardup._within("a_", "b_", neardup.SIGNATURE, neardup.FLOOR)).count() == len(rows)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 50), (60, 100)], "a long, b long")
     got = {r["id"]: r["label"] for r in neardup.components(links).collect()}

@@ -13,7 +13,7 @@ No pairs within a bucket are enumerated up front. Equal word sequences are settl
 member that shares most is compared with all others; links are joined to components; a bucket that still holds several
 components goes on without that member, with more members of small components each round, until none is left. So all
 pairs of a bucket end up in one component or were compared, and no link between different texts is lost. Pairs whose
-signatures (below) differ by far more than FLOOR allows are settled by them and never leave the join.
+signatures (below) differ by far more than FLOOR and, for labelled k-mers, `threshold` allow never leave the join.
 
 Defined cases: ids name documents, and rows that share an id are versions of one; a null id has no class; null and empty
 texts have no words, and texts without words are copies if they are equal, null being equal to empty; texts of under
@@ -48,8 +48,8 @@ SIGNATURE = tuple(f"s{i}" for i in range(PARTS))
 #: The same of the labelled k-mers; both.
 COUNTED = tuple(f"c{i}" for i in range(PARTS))
 SIGNED = SIGNATURE + COUNTED
-#: Labelled slots may differ by this share more than `threshold` allows: four standard errors of 64 slots at 0.8.
-SLACK = 0.2
+#: Signatures settle a pair once more slots differ than the wanted similarity allows by so many standard errors.
+ERRORS = 4
 
 
 def _constants(n: int, salt: int) -> np.ndarray:
@@ -146,16 +146,16 @@ def _slots(x):
 
 
 def _within(left: str, right: str, columns: tuple[str, ...], least: float):
-    """Whether at most a share of 1 - least of the slots in use differs between the signatures under two prefixes."""
+    """Whether the slots in use that differ between the signatures under two prefixes are within ERRORS of a share of 1 - least."""
     of = [(F.col(f"{left}{c}"), F.col(f"{right}{c}")) for c in columns]
     differ = sum((_slots(a.bitwiseXOR(b)) for a, b in of[1:]), _slots(of[0][0].bitwiseXOR(of[0][1])))
     used = sum((_slots(a.bitwiseOR(b)) for a, b in of[1:]), _slots(of[0][0].bitwiseOR(of[0][1])))
-    return differ <= used * (1 - least)
+    return differ <= used * (1 - least) + ERRORS * F.sqrt(used * (least * (1 - least)))
 
 
 def _alike(left: str, right: str, threshold: float = THRESHOLD):
     """Whether the signatures under two prefixes leave open that distinct k-mers reach FLOOR or labelled ones `threshold`."""
-    return _within(left, right, SIGNATURE, FLOOR) | _within(left, right, COUNTED, threshold - SLACK)
+    return _within(left, right, SIGNATURE, FLOOR) | _within(left, right, COUNTED, threshold)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
