@@ -40,17 +40,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near duplicates; documents without an id stay."""
-    gone = neardup.near_duplicates(docs).where("class_id <> doc_id").select("doc_id")
-    named = docs.select(*COLUMNS).where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    """Keeps the document with the smallest id of each class of near duplicates; documents without an id stay.
+
+    Rows that share an id are documents of their own where their texts differ, and one where they are equal: the row
+    whose other columns are the smallest.
+    """
+    named = docs.select(*COLUMNS).where("doc_id is not null").withColumn("version", F.struct("doc_id", F.xxhash64("text").alias("of")))
+    gone = neardup.near_duplicates(named, "version").where("class_id <> version").select("version")
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    kept = named.join(gone, "version", "left_anti").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("r")).select("doc_id", "text", "r.*")
+    return kept.select(*COLUMNS).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold passages of two or more benchmark items."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    leaks = found.where("contaminated").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    """Drops documents that hold passages of two or more benchmark items, whatever their id: texts name them."""
+    keyed = docs.select(*COLUMNS).withColumn("key", F.md5("text"))
+    found = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="key")
+    leaks = found.where("contaminated").select("key").distinct()
+    return keyed.join(leaks, "key", "left_anti").select(*COLUMNS)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -383,3 +383,21 @@ def test_pipeline(spark):
         d = after
     packed = corpus_pipeline.run(spark, SF)
     assert packed.select("doc_id").distinct().count() == d.count() <= before
+
+
+def test_pipeline_rows_without_unique_ids(spark, tmp_path):
+    """Differing texts of one id are documents of their own; leaks go with a null id or a shared one, their neighbours stay."""
+    import corpus_pipeline
+
+    prose = [" ".join(f"{p}{i}" for i in range(60)) for p in "abcd"]
+    row = lambda i, t: (i, t, "en", "s", len(t))
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    rows = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    near = make([row(1, prose[0]), row(2, prose[0]), row(2, prose[1]), row(3, prose[2]), row(3, prose[3]), row(3, prose[3]), row(None, prose[0])])
+    want = [(1, prose[0]), (2, prose[1]), (3, prose[2]), (3, prose[3]), (None, prose[0])]
+    assert rows(corpus_pipeline.near_duplicate_stage(spark, near, SF)) == sorted(want, key=str)
+    items = [" ".join(f"q{k}x{i}" for i in range(12)) for k in range(2)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leak = " ".join(items)
+    leaky = make([row(None, leak), row(None, prose[0]), row(4, leak), row(4, prose[1]), (None, None, "en", "s", 0)])
+    assert rows(corpus_pipeline.decontamination_stage(spark, leaky, str(tmp_path))) == sorted([(None, prose[0]), (4, prose[1]), (None, None)], key=str)
