@@ -350,6 +350,17 @@ def test_repeats(spark):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
 
 
+def test_training_chunks_come_from_the_whole_text():
+    seen = Counter()
+    for i in range(400):
+        data = np.frombuffer(b"".join(bytes([65 + k]) * (quality.CHUNK - quality.OVERLAP) for k in range(10)) + str(i).encode(), np.uint8)
+        own = quality.chunks(data, np.array([0, len(data)]))[0]
+        picked = {k for c in quality.training_chunks(data) for k in range(len(own)) if (c == own[k]).all()}
+        assert len(picked) == quality.CHUNKS_PER_TEXT
+        seen.update(picked)
+    assert len(seen) == len(own) and min(seen.values()) > 30
+
+
 def test_classifiers_on_held_out_rows(spark):
     labels = {r["doc_id"]: r for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     for f, label, least in ((queries.op10_quality, "quality", 0.97), (queries.op7_toxicity, "toxic", 0.9)):

@@ -12,6 +12,7 @@ share; a null id goes through; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from veilspark.llm.kit import map_texts, utf8
+from veilspark.llm.kit import map_texts, mix, utf8
 
 #: Bytes of a chunk, and bytes that it shares with the next.
 CHUNK, OVERLAP = 1024, 32
 #: Filters see WIDTH bytes and move by HALF of that, so each byte is seen by two of them.
 WIDTH, HALF, EMBEDDED, FILTERS = 8, 4, 8, 24
-#: The fit sees at most this many texts of either class, and this many chunks of each, spread over the text, and as
+#: The fit sees at most this many texts of either class, and this many chunks of each, drawn by a hash from the whole text, and as
 #: many short cuts of those chunks again, so that short texts are judged by their bytes and not by the padding.
 SAMPLE_PER_CLASS, CHUNKS_PER_TEXT = 1500, 2
 CUTS = (40, 80, 160, 320, 640)
@@ -50,7 +51,8 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def training_chunks(data: np.ndarray) -> np.ndarray:
     """The chunks and short cuts that one text gives to the fit."""
     own, _, length = chunks(data, np.array([0, len(data)]))
-    picked = np.unique(np.linspace(0, len(own) - 1, CHUNKS_PER_TEXT).astype(int))
+    drawn = mix(np.arange(len(own), dtype=np.uint64) + (np.uint64(zlib.crc32(data)) << np.uint64(32)))
+    picked = np.sort(np.argsort(drawn, kind="stable")[:CHUNKS_PER_TEXT])
     out = [own[picked]]
     for n, c in enumerate(picked.tolist()):
         size = CUTS[(len(data) + n) % len(CUTS)]
