@@ -167,6 +167,22 @@ def test_proximity_against_brute_force(spark):
     assert got == want and any(n for _, n in want.values()) and any(n for n, _ in want.values())
 
 
+@pytest.mark.parametrize("block", [1 << 20, 1])
+def test_proximity_gives_items_and_places(spark, block):
+    item, other = [f"a{i}" for i in range(8)], [f"b{i}" for i in range(8)]
+    pad = [f"p{i}" for i in range(40)]
+    turned = item[::-1]
+    texts = [["x"] * 3 + turned + pad + turned, ["y"] + other + pad + turned, other[::-1] + pad + other, pad + ["a0"]]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other))], "item_id long, text string")
+    found = decontaminate.find_matches(docs(spark, [" ".join(t) for t in texts]), bench, block_windows=block)
+    got = {r["doc_id"]: (r["n_near"], [(x["item"], texts[r["doc_id"]][x["at"]], x["at"]) for x in r["near"]]) for r in found.collect()}
+    assert got[2] == got[3] == (0, [])  # exact as well, and a single word
+    for d, places in ((0, 2), (1, 1)):
+        assert got[d][0] == 1 and len(got[d][1]) == places
+        assert all(i == "1" and w in item for i, w, _ in got[d][1])
+        assert len({w for _, w, _ in got[d][1]}) == 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=5, max_size=40), st.lists(st.integers(0, 3), min_size=5, max_size=40))
 def test_alignment(a, b):

@@ -211,10 +211,10 @@ def find_matches(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     window: int = WINDOW, slop: int = 2 * WINDOW, block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
-    """One row a document: id, n_words, runs (of words inside matches), items (ids as strings, sorted), n_near.
+    """One row a document: id, n_words, runs (of words inside matches), items (ids as strings, sorted), n_near, near (item, at).
 
     A run is [start, end) in words. n_near counts the items of which some window has all its terms within `slop`
-    positions (less than GAP) of its rarest one, but none occurs exactly.
+    positions (less than GAP) of its rarest one, but none occurs exactly; near lists these items, once for each place `at` of such a word.
     """
     if not 0 <= slop < GAP:
         raise ValueError(f"slop must be under {GAP}")
@@ -234,27 +234,28 @@ def find_matches(
         found = found.groupBy("row").agg(  # one row a block
             F.first("id").alias("id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"),
             F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), F.sum("n_near").alias("n_near"),
+            F.array_sort(F.flatten(F.collect_list("near"))).alias("near"),
         )
         merged = """aggregate(runs, cast(array() as array<struct<start: int, end: int>>), (done, r) ->
             if(size(done) > 0 and r.start <= element_at(done, -1).end,
                concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).start as start, greatest(element_at(done, -1).end, r.end) as end))),
                concat(done, array(r))))"""
         found = found.withColumn("runs", F.expr(merged))
-    return found.select(F.col("id").alias(id_col), "n_words", "runs", "items", "n_near")
+    return found.select(F.col("id").alias(id_col), "n_words", "runs", "items", "n_near", "near")
 
 
 def _search(index: DataFrame, phrases: Phrases, order: np.ndarray, slop: int) -> DataFrame:
     id_type = index.schema["ids"].dataType.elementType
     run_type = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", id_type), T.StructField("n_words", T.LongType()), T.StructField("runs", run_type), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_near", T.LongType())])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", id_type), T.StructField("n_words", T.LongType()), T.StructField("runs", run_type), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_near", T.LongType()), T.StructField("near", T.ArrayType(T.StructType([T.StructField("item", T.StringType()), T.StructField("at", T.IntegerType())])))])
     arrow = to_arrow_schema(schema)
     held = index.sparkSession.sparkContext.broadcast((phrases, order))
 
     def answered(segment: Segment, phrases: Phrases, order: np.ndarray):
         n_docs, n_items = len(segment.ids), len(phrases.names)
-        runs, items, n_near = [[] for _ in range(n_docs)], [[] for _ in range(n_docs)], np.zeros(n_docs, np.int64)
+        runs, items, n_near, places = [[] for _ in range(n_docs)], [[] for _ in range(n_docs)], np.zeros(n_docs, np.int64), [[] for _ in range(n_docs)]
         if not len(order) or not len(segment.keys):
-            return runs, items, n_near
+            return runs, items, n_near, places
         owned = np.array([len(o) for o in phrases.owners], np.int64)
         flat = np.array([i for o in phrases.owners for i in o], np.int64)
         begin = np.cumsum(owned) - owned
@@ -270,6 +271,13 @@ def _search(index: DataFrame, phrases: Phrases, order: np.ndarray, slop: int) ->
         mine = pairs(window, segment.doc_of(start))
         near, at = segment.near(phrases, order, slop)
         np.add.at(n_near, np.setdiff1d(pairs(near, segment.doc_of(at)), mine) // n_items, 1)
+        n = owned[near]
+        item = flat[np.repeat(begin[near], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        spot = np.repeat(at, n)
+        only = ~np.isin(segment.doc_of(spot) * n_items + item, mine)
+        for i, p in sorted(set(zip(item[only].tolist(), spot[only].tolist(), strict=True)), key=lambda x: (phrases.names[x[0]], x[1])):
+            d = int(segment.doc_of(np.array([p]))[0])
+            places[d].append({"item": phrases.names[i], "at": int(p - segment.first[d])})
         for doc, item in zip(*np.divmod(mine, n_items), strict=True):
             items[doc].append(phrases.names[item])
         if len(window):
@@ -280,17 +288,17 @@ def _search(index: DataFrame, phrases: Phrases, order: np.ndarray, slop: int) ->
             doc = segment.doc_of(start[new])
             for d, a, b in zip(doc.tolist(), (start[new] - segment.first[doc]).tolist(), (stop - segment.first[doc]).tolist(), strict=True):
                 runs[d].append({"start": a, "end": b})
-        return runs, items, n_near
+        return runs, items, n_near, places
 
     def run(batches):
         phrases, order = held.value
         for batch in batches:
             for i in range(batch.num_rows):
                 segment = Segment(batch.slice(i, 1).to_pylist()[0])
-                runs, items, n_near = answered(segment, phrases, order)
+                runs, items, n_near, places = answered(segment, phrases, order)
                 rows = (np.int64(segment.number) << 24) + np.arange(len(segment.ids))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows), pa.array(segment.ids, arrow.field(1).type), pa.array(segment.n_words.astype(np.int64)), pa.array(runs, arrow.field(3).type), pa.array([sorted(i) for i in items], arrow.field(4).type), pa.array(n_near)],
+                    [pa.array(rows), pa.array(segment.ids, arrow.field(1).type), pa.array(segment.n_words.astype(np.int64)), pa.array(runs, arrow.field(3).type), pa.array([sorted(i) for i in items], arrow.field(4).type), pa.array(n_near), pa.array(places, arrow.field(6).type)],
                     schema=arrow,
                 )
 
@@ -298,8 +306,8 @@ def _search(index: DataFrame, phrases: Phrases, order: np.ndarray, slop: int) ->
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, **options) -> DataFrame:
-    """One row a document: id, n_words, n_hit, n_items, items (sorted strings), contaminated (n_items >= min_items), n_near."""
+    """One row a document: id, n_words, n_hit, n_items, items (sorted strings), contaminated (n_items >= min_items), n_near, near."""
     found = find_matches(docs, benchmark, **options)
     hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     size = F.size("items").cast("long")
-    return found.select(found.columns[0], "n_words", hit.alias("n_hit"), size.alias("n_items"), "items", (size >= min_items).alias("contaminated"), "n_near")
+    return found.select(found.columns[0], "n_words", hit.alias("n_hit"), size.alias("n_items"), "items", (size >= min_items).alias("contaminated"), "n_near", "near")
