@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veilspark.llm import chat, decontaminate, knn, neardup, packing, pii, quality, queries, repeats, secrets, toxicity
+from veilspark.llm import pipeline as stages
 from veilspark.llm.kit import WordScanner
 
 SF = "/root/testdata/sf0.001"
@@ -398,33 +399,59 @@ def test_sql(spark, name):
 
 
 def test_pipeline(spark):
-    import corpus_pipeline
-
     d = spark.read.parquet(f"{SF}/documents.parquet")
     before = d.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in stages.STAGES[:-1]:
         after = stage(spark, d, SF)
-        assert after.columns == list(corpus_pipeline.COLUMNS)
+        assert after.columns == list(stages.COLUMNS)
         n = after.count()
         assert 0.6 * d.count() <= n <= d.count()
         d = after
-    packed = corpus_pipeline.run(spark, SF)
+    packed = stages.run(spark, SF)
     assert packed.select("doc_id").distinct().count() == d.count() <= before
 
 
 def test_pipeline_rows_without_unique_ids(spark, tmp_path):
     """Differing texts of one id are documents of their own; leaks go with a null id or a shared one, their neighbours stay."""
-    import corpus_pipeline
-
     prose = [" ".join(f"{p}{i}" for i in range(60)) for p in "abcd"]
     row = lambda i, t: (i, t, "en", "s", len(t))
     make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     rows = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
     near = make([row(1, prose[0]), row(2, prose[0]), row(2, prose[1]), row(3, prose[2]), row(3, prose[3]), row(3, prose[3]), row(None, prose[0])])
     want = [(1, prose[0]), (2, prose[1]), (3, prose[2]), (3, prose[3]), (None, prose[0])]
-    assert rows(corpus_pipeline.near_duplicate_stage(spark, near, SF)) == sorted(want, key=str)
-    items = [" ".join(f"q{k}x{i}" for i in range(12)) for k in range(2)]
+    assert rows(stages.near_duplicate_stage(spark, near, SF)) == sorted(want, key=str)
+    items = [" ".join(f"q{k}x{i}" for i in range(12)) for k in range(2)] + ["two words"]
     spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     leak = " ".join(items)
     leaky = make([row(None, leak), row(None, prose[0]), row(4, leak), row(4, prose[1]), (None, None, "en", "s", 0)])
-    assert rows(corpus_pipeline.decontamination_stage(spark, leaky, str(tmp_path))) == sorted([(None, prose[0]), (4, prose[1]), (None, None)], key=str)
+    assert rows(stages.decontamination_stage(spark, leaky, str(tmp_path))) == sorted([(None, prose[0]), (4, prose[1]), (None, None)], key=str)
+
+
+def test_pipeline_drops_single_passages(spark, tmp_path):
+    """A window of one benchmark item is a leak, seven words of it or a whole short item are none."""
+    item = [f"q{i}" for i in range(20)]
+    pad = " ".join(f"w{i}" for i in range(30))
+    spark.createDataFrame([(1, " ".join(item)), (2, "two words"), (None, pad), (3, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [f"{pad} {' '.join(item)} {pad}", f"{pad} {' '.join(item[4:12])}", " ".join(item[4:11]) + " " + pad, f"{pad} two words", "", None, pad, pad]
+    d = spark.createDataFrame([(i, t, "en", None, None, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, key string")
+    kept = stages.decontamination_stage(spark, d, str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 5, 6, 7] and kept.columns == list(stages.COLUMNS)
+
+
+def test_pipeline_edge_rows(spark, tmp_path):
+    """Nulls in any column, ties, repeats, empty and long texts, extra columns with clashing names, empty tables."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, 1, 0), (None, None, 1), (2, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, None, None, None, None), (None, None, None, None, None), (1, "", None, None, None), (1, "", None, "s", 0), (2, "a text of words here", "en", None, 20), (3, "long " * 40_000 + "password=abcdefghijkl0", None, None, None), (4, None, "en", "s", 1)]
+    more = spark.createDataFrame([(*r, "x", "y", 0.5, "z") for r in rows], kind + ", key string, version string, score double, id string")
+    # texts without words are copies of each other: 1 and 4; rows without an id stay
+    want = {"quality": 7, "near_duplicates": 5, "decontamination": 7, "secrets": 7}
+    for name, stage in stages.STAGES[:-1]:
+        kept = stage(spark, more, str(tmp_path))
+        assert kept.columns == list(stages.COLUMNS)
+        assert kept.count() == want[name], name
+        assert not stage(spark, more.where("false"), str(tmp_path)).count()
+    assert stages.packing_stage(spark, more, str(tmp_path)).where("start = 0").count() == 7
+    assert not stages.packing_stage(spark, more.where("false"), str(tmp_path)).count()
+    assert "abcdefghijkl0" not in stages.secrets_stage(spark, more, str(tmp_path)).where("doc_id = 3").first()["text"]

@@ -13,14 +13,16 @@ share; a null id goes through; an empty table gives an empty result; other colum
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.kit import map_texts, mix, utf8
+from veilspark.llm.kit import map_texts, mix, slices, utf8
 
 #: Bytes of a chunk, and bytes that it shares with the next.
 CHUNK, OVERLAP = 1024, 32
@@ -169,8 +171,18 @@ def train(sample: DataFrame) -> Network:
     return fit(np.concatenate(x) if x else np.zeros((0, CHUNK), np.uint8), y)
 
 
+def scorer(spark: SparkSession, net: Network) -> Callable[..., Column]:
+    """A column function: the scores of a text column, for use beside other columns."""
+    held = spark.sparkContext.broadcast(net)
+
+    @F.arrow_udf(T.DoubleType())
+    def scored(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        return pa.array([s for part in slices(batch, 0) for s in held.value.scores(part.column(0))], pa.float64())
+
+    return scored
+
+
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for every row. Narrow."""
-    held = docs.sparkSession.sparkContext.broadcast(net)
-
-    return map_texts(docs, [id_col], text_col, [T.StructField("score", T.DoubleType())], lambda: lambda texts: [held.value.scores(texts)])
+    return docs.select(F.col(f"`{id_col}`"), scorer(docs.sparkSession, net)(F.col(f"`{text_col}`").cast("string")).alias("score"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm import chat, decontaminate, knn, neardup, packing, pii, quality, repeats, secrets, toxicity
+from veilspark.llm import pipeline as stages
 from veilspark.llm.kit import table
 from veilspark.llm.training import fold, labelled_sample
 
@@ -72,9 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {
