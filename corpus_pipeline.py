@@ -1,89 +1,11 @@
-"""A corpus pipeline over `documents`: quality, near duplicates, benchmark leaks, secrets, packing.
+"""The corpus pipeline over `documents`: its stages in order, and run(), which applies them all.
 
-Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns the columns of
-documents (the last one: pieces of packed sequences). run() writes each stage's result as Parquet in the shared folder
-and hands it, read back, to the next. The result depends on a trained network and on packing, which SQL cannot express.
+The stages are defined beside the operators that they call; nothing here runs without that subpackage. SQL cannot
+express the result, which depends on a trained network and on packing.
 """
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from veilspark.llm import decontaminate, neardup, packing, quality, secrets
-from veilspark.llm.kit import materialize, table
-from veilspark.llm.training import fold, labelled_sample
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Documents that score under this are rejected: only what is clearly junk goes.
-QUALITY_THRESHOLD = 0.5
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of low quality. The score is computed beside the text, so nothing is joined."""
-    labels = table(spark, sf_dir, "labels")
-    net = quality.train(labelled_sample(docs, labels, "quality", fold("doc_id", 3) != 1, quality.SAMPLE_PER_CLASS))
-    held = spark.sparkContext.broadcast(net)
-
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-        import pyarrow as pa
-
-        from veilspark.llm.kit import slices
-
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])
-        scores = [s for part in slices(batch, 0) for s in held.value.scores(part.column(0))]
-        return pd.Series(scores, dtype="float64")
-
-    return docs.select(*COLUMNS).where(score("text") >= QUALITY_THRESHOLD)
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near duplicates; documents without an id stay.
-
-    Rows that share an id are documents of their own where their texts differ, and one where they are equal: the row
-    whose other columns are the smallest.
-    """
-    named = docs.select(*COLUMNS).where("doc_id is not null").withColumn("version", F.struct("doc_id", F.xxhash64("text").alias("of")))
-    gone = neardup.near_duplicates(named, "version").where("class_id <> version").select("version")
-    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
-    kept = named.join(gone, "version", "left_anti").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("r")).select("doc_id", "text", "r.*")
-    return kept.select(*COLUMNS).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
-
-
-def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold passages of two or more benchmark items, whatever their id: texts name them."""
-    keyed = docs.select(*COLUMNS).withColumn("key", F.md5("text"))
-    found = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="key")
-    leaks = found.where("contaminated").select("key").distinct()
-    return keyed.join(leaks, "key", "left_anti").select(*COLUMNS)
-
-
-def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets in the texts; every document stays."""
-    return secrets.mask_secrets(docs.select(*COLUMNS))
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents into sequences: one row a piece."""
-    return packing.pack(docs)
-
-
-STAGES = [
-    ("quality", quality_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("decontamination", decontamination_stage),
-    ("secrets", secrets_stage),
-    ("packing", packing_stage),
-]
+from veilspark.llm.pipeline import STAGES, run
 
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
