@@ -213,6 +213,34 @@ def test_near_duplicates_lose_no_link(spark):
     assert len(set(got.values())) > 0.6 * len(got)
 
 
+def test_near_duplicates_make_no_false_link(spark):
+    """Every class holds together by links of pairs that brute force finds alike, over all pairs of its members."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(d).collect()}
+    words, members = {}, {}
+    for r in d.collect():
+        own = WORDS.findall((r["text"] or "").translate({c: c + 32 for c in range(65, 91)}))
+        words[r["doc_id"]] = np.array([int(hashlib.md5(w.encode()).hexdigest()[:15], 16) for w in own], np.uint64)
+        members.setdefault(got[r["doc_id"]], []).append(r["doc_id"])
+
+    def links(i, j):
+        a, b = words[i].tolist(), words[j].tolist()
+        grams = [Counter(tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4))) for x in (a, b)]
+        share = lambda x, y: len(x & y) / len(x | y)
+        counted = (grams[0] & grams[1]).total() / (grams[0] | grams[1]).total()
+        return a == b or neardup.indels(a, b, (len(a) + len(b)) // 9) is not None and (share(set(grams[0]), set(grams[1])) >= neardup.FLOOR or counted >= 0.8)
+
+    for label, own in members.items():
+        assert label == min(own)
+        reached, todo = {label}, [label]
+        while todo:
+            new = [j for j in own if j not in reached and links(todo[-1], j)]
+            todo.pop()
+            reached.update(new)
+            todo += new
+        assert reached == set(own)
+
+
 def test_near_duplicates_settle_skew(spark):
     """Near copies of one text form one class; texts that share but one phrase, repeated, stay alone."""
     import random
@@ -264,12 +292,12 @@ def test_signatures_leave_pairs_near_the_floor(spark):
         b[5 + np.arange(n // 17) * 16] = rng.integers(0, 2**63, n // 17)
         assert neardup.FLOOR <= neardup.overlap(a, b) < 0.62 and neardup.similar(a, b)
         grams, counts = neardup.kmers(np.concatenate([a, b]), np.array([0, n, 2 * n]))
-        signed = np.concatenate([neardup.signatures(grams, counts), neardup.signatures(neardup.labelled(grams, counts), counts)], axis=1)
-        rows.append(tuple(signed.astype(np.int64).reshape(-1).tolist()))
+        rows.append(tuple(neardup.signed(grams, counts).reshape(-1).tolist()))
     names = [f"{p}{c}" for p in ("a_", "b_") for c in neardup.SIGNED]
     df = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in names))
     assert df.where(neardup._alike("a_", "b_")).count() == len(rows)
     assert df.where(neardup._within("a_", "b_", neardup.SIGNATURE, neardup.FLOOR)).count() == len(rows)
+    assert df.where(neardup._near_parity("a_", "b_", neardup.FLOOR)).count() == len(rows)
 
 
 def test_components(spark):

@@ -1,9 +1,7 @@
-"""Shared plumbing: Arrow-batched text maps and the shared scratch folder."""
+"""Shared plumbing: Arrow-batched text maps, words, and tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from veilspark.plans.scratch import discard  # noqa: F401
+from veilspark.plans.scratch import saved as materialize  # noqa: F401
+
 #: A slice of a record batch that a text kernel sees holds about this many bytes of text (or one row).
 SLICE_BYTES = 2 << 20
 
@@ -23,41 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset (tests on a local master), a temporary folder is made and set once a session.
-    """
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_to:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        set_to = tempfile.mkdtemp(prefix="veilspark-")
-        spark.conf.set("spark.checkpoint.dir", set_to)
-    return set_to
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/veilspark/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    done = set()
-    for name in df.inputFiles():
-        parent = name.rsplit("/", 1)[0]
-        if "/veilspark/" in parent and parent not in done:
-            done.add(parent)
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a record batch so that the strings of one column hold about `limit` bytes in each slice."""
     n = batch.num_rows

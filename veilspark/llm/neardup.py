@@ -12,7 +12,8 @@ same reason, unless their labelled ones have a similarity of `threshold`.
 No pairs within a bucket are enumerated up front. Equal word sequences are settled first, by hash. In each bucket the
 member that shares most is compared with all others; links are joined to components; a bucket that still holds several
 components goes on without that member, with more members of small components each round, until none is left. So all
-pairs of a bucket end up in one component or were compared, and no link between different texts is lost. Pairs whose
+pairs of a bucket end up in one component or were compared, and no link between different texts is lost. The first round
+looks at EARLY bands only: it settles most large groups, whose members would meet again in every other band. Pairs whose
 signatures (below) differ by far more than FLOOR and, for labelled k-mers, `threshold` allow never leave the join.
 
 Defined cases: ids name documents, and rows that share an id are versions of one; a null id has no class; null and empty
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.kit import WordScanner, class_of, map_texts, materialize, mix, release, shingle_hashes
+from veilspark.llm.kit import WordScanner, class_of, discard, map_texts, materialize, mix, release, shingle_hashes
 
 #: Words of a k-mer, similarity of a link.
 K, THRESHOLD = 5, 0.8
@@ -40,6 +42,8 @@ FLOOR = 0.5
 #: Labelled k-mers that a sketch samples; sketches of a band; bands. Two texts of similarity s share a band with
 #: probability about s ** (SAMPLED * ROWS + 1), so at 0.8 they miss all bands in about 2 of 100,000 cases.
 SAMPLED, ROWS, BANDS = 2, 2, 28
+#: Bands of the first round.
+EARLY = 4
 #: A signature: 16 four-bit slots in each of so many numbers. A slot holds the least hash of the k-mers dealt to it (1 to
 #: 15), 0 if there are none. Slots that differ are a share of about 1 - s of those in use; a pair of 0.8 has half of
 #: them different in about one of 10 ** 8 cases.
@@ -47,7 +51,10 @@ PARTS = 4
 SIGNATURE = tuple(f"s{i}" for i in range(PARTS))
 #: The same of the labelled k-mers; both.
 COUNTED = tuple(f"c{i}" for i in range(PARTS))
-SIGNED = SIGNATURE + COUNTED
+#: Whether the number of distinct k-mers dealt to a bit is odd, for 64 bits in each of so many numbers; how many there
+#: are. Bits that differ are at most as many as k-mers that only one text has, so nothing is lost to them.
+PARITY = tuple(f"p{i}" for i in range(16))
+SIGNED = (*SIGNATURE, *COUNTED, *PARITY, "kinds")
 #: Signatures settle a pair once more slots differ than the wanted similarity allows by so many standard errors.
 ERRORS = 4
 
@@ -139,6 +146,27 @@ def signatures(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(held.reshape(len(counts), PARTS, 16) << shifts, axis=2)
 
 
+def parities(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """texts x (len(PARITY) + 1) numbers: the parity bits of their distinct k-mers, and how many these are."""
+    bits, out = 64 * len(PARITY), np.zeros((len(counts), len(PARITY) + 1), np.uint64)
+    bounds = np.append(0, np.cumsum(counts))
+    single = labelled(grams, counts) == grams
+    bit = (mix(grams + np.uint64(0x8EBC6AF09C88C6E3)) % np.uint64(bits)).astype(np.int64)
+    for at in range(0, len(counts), 1024):
+        part = slice(bounds[at], bounds[min(at + 1024, len(counts))])
+        n = min(1024, len(counts) - at)
+        text = np.repeat(np.arange(n), counts[at : at + n])[single[part]]
+        odd = np.bincount(text * bits + bit[part][single[part]], minlength=n * bits).reshape(n, bits) & 1
+        out[at : at + n, :-1] = np.packbits(odd.astype(np.uint8), axis=1).view(np.uint64)
+        out[at : at + n, -1] = np.bincount(text, minlength=n)
+    return out
+
+
+def signed(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """texts x SIGNED."""
+    return np.concatenate([signatures(grams, counts), signatures(labelled(grams, counts), counts), parities(grams, counts)], axis=1).astype(np.int64)
+
+
 def _slots(x):
     """How many of the 16 slots of a number are not 0."""
     pairs = x.bitwiseOR(F.shiftrightunsigned(x, 1))
@@ -153,9 +181,15 @@ def _within(left: str, right: str, columns: tuple[str, ...], least: float):
     return differ <= used * (1 - least) + ERRORS * F.sqrt(used * (least * (1 - least)))
 
 
+def _near_parity(left: str, right: str, least: float):
+    """Whether so few parity bits differ that distinct k-mers can have a similarity of `least`: exact, but one-sided."""
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{left}{c}").bitwiseXOR(F.col(f"{right}{c}"))) for c in PARITY))
+    return differ <= (F.col(f"{left}kinds") + F.col(f"{right}kinds")) * ((1 - least) / (1 + least)) + 1e-6
+
+
 def _alike(left: str, right: str, threshold: float = THRESHOLD):
     """Whether the signatures under two prefixes leave open that distinct k-mers reach FLOOR or labelled ones `threshold`."""
-    return _within(left, right, SIGNATURE, FLOOR) | _within(left, right, COUNTED, threshold)
+    return (_near_parity(left, right, FLOOR) & _within(left, right, SIGNATURE, FLOOR)) | _within(left, right, COUNTED, threshold)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -173,8 +207,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 own = words[bounds[i] : bounds[i + 1]]
                 digests.append(hashlib.blake2b(own.tobytes() if len(own) else b"text " + (text.as_py() or "").encode(), digest_size=16).digest())
             offsets = np.append(0, np.cumsum((counts > 0) * BANDS)).astype(np.int32)
-            signed = np.concatenate([signatures(grams, counts), signatures(labelled(grams, counts), counts)], axis=1).astype(np.int64)
-            return [pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1))), *(pa.array(c) for c in signed.T.copy())]
+            return [pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1))), *(pa.array(c) for c in signed(grams, counts).T.copy())]
 
         return kernel
 
@@ -327,18 +360,18 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
 
 def components(links: DataFrame) -> DataFrame:
     """(id, label): the smallest id that each end of a link (a, b) is connected to. Labels spread, then jump."""
-    spark = links.sparkSession
-    both = links.select("a", "b").union(links.select("b", "a")).distinct()
-    both = materialize(both, "links")
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    new = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
+        labels = new.select("id", "label")
         seen = both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         nearer = labels.join(seen, "id").select("id", F.least("label", "near").alias("near"), F.col("label").alias("old"))
         jump = labels.select(F.col("id").alias("near"), F.col("label").alias("next"))
-        new = materialize(nearer.join(jump, "near").select("id", F.least("near", "next").alias("label"), "old"), "labels")
+        old, new = new, materialize(nearer.join(jump, "near").select("id", F.least("near", "next").alias("label"), "old"), "labels")
+        discard(old)
         if new.where("label <> old").isEmpty():
+            discard(both)
             return new.select("id", "label")
-        labels = new.select("id", "label")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -348,19 +381,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = materialize(sketches(named, id_col, text_col).withColumnRenamed(id_col, "id"), "sketches")
     members = materialize(class_of(sketched, "digest", "id").select("id", "first"), "copies")
     first = members.where("id = first").select("id").distinct()
-    bands = sketched.join(first, "id", "left_semi").select("id", F.explode("keys").alias("key")).distinct()
+    bands = sketched.join(first, "id", "left_semi").select("id", F.posexplode("keys").alias("band", "key")).distinct()
     bands = materialize(bands, "bands")
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = materialize(bands.join(shared, "key"), "buckets")
-    central = rows.groupBy("id").agg(F.sum("n").alias("weight"))
-    signed = sketched.select("id", *SIGNED).distinct()
-    rows = materialize(rows.join(central, "id").join(signed, "id").select("key", "id", "weight", *SIGNED), "buckets")
+    common = materialize(bands.join(shared, "key"), "buckets")
+    central = common.groupBy("id").agg(F.sum("n").alias("weight"))
+    small = sketched.select("id", *SIGNED).distinct()
+    rows = materialize(common.join(central, "id").join(small, "id").select("key", "band", "id", "weight", *SIGNED), "buckets")
+    discard(sketched, bands, common)
     release(spark)
     found = None
     if not rows.isEmpty():
         wanted = rows.select("id").distinct()
         words = materialize(_word_sequences(named.join(wanted.withColumnRenamed("id", id_col).hint("merge"), id_col, "left_semi"), id_col, text_col).withColumnRenamed(id_col, "id"), "words")
         found = _link(rows, words, threshold)
+        discard(words)
+    discard(rows)
     if found is None:
         return members.select(F.col("id").alias(id_col), F.col("first").alias("class_id")).distinct()
     out = members.join(found, members["first"] == found["node"], "left").select(members["id"].alias(id_col), F.coalesce("label", "first").alias("class_id"))
@@ -374,13 +410,15 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
         of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
         links = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
         links = links.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
-    # each end keeps its smallest neighbour, and its other neighbours are tied to that one instead: one star each
     links = materialize(links, "links")
     if links.isEmpty():
+        discard(links)
         return labels
-    low = links.groupBy("b").agg(F.min("a").alias("low"))
-    stars = links.join(low, "b").select(F.col("low").alias("a"), F.col("a").alias("b")).where("a <> b").union(low.select(F.col("low").alias("a"), "b")).distinct()
+    # each end keeps its smallest neighbour, and its other neighbours are tied to that one instead: one star each
+    tied = class_of(links, "b", "a")
+    stars = tied.select(F.col("first").alias("a"), F.col("id").alias("b")).where("a <> b").union(tied.select(F.col("first").alias("a"), F.col("key").alias("b"))).distinct()
     found = components(stars).withColumnRenamed("id", "node")
+    discard(links)
     if labels is None:
         return found
     moved = found.select(F.col("node").alias("label"), F.col("label").alias("to"))
@@ -388,39 +426,48 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return materialize(kept.unionByName(found.join(labels.select("node"), "node", "left_anti")), "labels")
 
 
-#: Members of a bucket that are compared with all others: in round 0 the most central one, in round r about GROWTH ** r
-#: of those outside its largest component too (all of them, where they are fewer).
-GROWTH = 64
+#: Members of a bucket that are compared with all others: one in round 0, about SPOTS * GROWTH ** (r - 1) in round r, the
+#: most central of each spot that ids are hashed to. Where one component has most of a bucket, they are taken from it,
+#: so that the few others meet some of it first, and all of it only if they link to none.
+SPOTS, GROWTH = 8, 64
 
 
 def _link(rows: DataFrame, words: DataFrame, threshold: float) -> DataFrame | None:
-    """(node, label) of the members of buckets that are linked; rows are (key, id, weight, signatures)."""
-    done = labels = None
-    rows = rows.withColumn("label", F.col("id"))
+    """(node, label) of the members of buckets that are linked; rows are (key, band, id, weight, signatures)."""
+    labels = None
+    done: list[DataFrame] = []
+    rows = whole = rows.withColumn("label", F.col("id"))
     turn = 0
     while True:
-        by_label = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.max(F.struct("weight", "id")).alias("top"))
-        sizes = by_label.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("largest"), F.max(F.struct("top.weight", "top.id")).alias("hub"), F.count("*").alias("labels")).where("labels > 1")
-        sizes = materialize(sizes.select("key", (F.col("n") - F.col("largest.n")).alias("others"), F.col("largest.label").alias("largest"), F.col("hub.id").alias("hub")), "sizes")
-        if sizes.isEmpty():
+        now = rows.where(F.col("band") < EARLY) if turn == 0 else rows
+        sizes = now.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1")
+        sizes = materialize(sizes.select("key", F.when(F.col("largest.n") * 2 >= F.col("n"), F.col("largest.label")).alias("main")), "sizes")
+        if turn and sizes.isEmpty():
+            discard(sizes, *done, rows)
             return labels
-        drawn = F.pmod(F.xxhash64("id", F.lit(turn)), F.col("others")) < GROWTH**turn
-        centers = rows.join(sizes, "key").where((F.col("id") == F.col("hub")) | ((F.col("label") != F.col("largest")) & drawn) if turn else F.col("id") == F.col("hub"))
-        centers = materialize(centers.select("key", F.col("id").alias("center"), F.col("label").alias("center_label"), *(F.col(c).alias(f"center_{c}") for c in SIGNED)), "centers")
-        pairs = rows.join(centers, "key").where((F.col("label") != F.col("center_label")) & _alike("", "center_", threshold)).select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        spot = F.pmod(F.xxhash64("id"), F.lit(SPOTS * GROWTH ** (turn - 1) if turn else 1))
+        best = F.max(F.struct(F.coalesce(F.col("label") == F.col("main"), F.lit(False)).alias("is_main"), "weight", "id", "label", *SIGNED)).alias("c")
+        centers = now.join(sizes, "key").groupBy("key", spot.alias("spot")).agg(best)
+        centers = materialize(centers.select("key", F.col("c.id").alias("center"), F.col("c.label").alias("center_label"), *(F.col(f"c.{c}").alias(f"center_{c}") for c in SIGNED)), "centers")
+        # a sort-merge join, so that Spark splits the rows of a large bucket
+        pairs = now.hint("merge").join(centers, "key").where((F.col("label") != F.col("center_label")) & _alike("", "center_", threshold)).select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b")).distinct()
+        if done:
+            pairs = pairs.join(reduce(DataFrame.unionByName, done), ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        done = pairs if done is None else done.unionByName(pairs)
+        done.append(pairs)
         new = materialize(_verified(pairs, words, threshold), "links")
         labels = _joined(labels, new)
-        left = rows.join(centers, (rows["key"] == centers["key"]) & (rows["id"] == centers["center"]), "left_anti").select("key", "id", "weight", *SIGNED)
-        left = left.join(sizes.select("key"), "key", "left_semi")
+        left = rows.join(centers, (rows["key"] == centers["key"]) & (rows["id"] == centers["center"]), "left_anti").select("key", "band", "id", "weight", *SIGNED)
+        if turn:
+            left = left.join(sizes.select("key"), "key", "left_semi")
         if labels is not None:
-            left = left.join(labels, left["id"] == labels["node"], "left").select("key", "id", "weight", *SIGNED, F.coalesce("label", "id").alias("label"))
+            left = left.join(labels, left["id"] == labels["node"], "left").select("key", "band", "id", "weight", *SIGNED, F.coalesce("label", "id").alias("label"))
         else:
             left = left.withColumn("label", F.col("id"))
         left = materialize(left, "buckets")
         several = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        rows = left.join(several, "key", "left_semi")
+        before, rows = rows, materialize(left.join(several, "key", "left_semi"), "buckets")
+        discard(left, sizes, centers, new)
+        if before is not whole:
+            discard(before)
         turn += 1
