@@ -35,9 +35,12 @@ _VALUE = re.compile(r" *[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
-#: Quoted literals end at the next quote of their kind or fail at the end of the line, so the work stays linear.
-_LITERAL = re.compile(r"[:=]?=?>? *(?:\"([^\"\n]*+)\"|'([^'\n]*+)'|([A-Za-z0-9+/_.=-]+))")
-_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
+#: What stands between an operator's first character and its literal; quoted literals end at the next quote of their kind
+#: or fail at the end of the line, bare ones at the first other character.
+_OPEN = re.compile(r"[:=]=?>? *")
+_QUOTED = re.compile(r"\"([^\"\n]*+)\"|'([^'\n]*+)'")
+_BARE = re.compile(r"[A-Za-z0-9+/_.=-]+")
+_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
 
 #: How sensitive a target name is, by the parts it is written in.
 NAME_SCORES = {
@@ -55,6 +58,59 @@ def _entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
+def _tail_entropies(value: str) -> list[float]:
+    """The entropy of each tail of a string, from the whole string on: one pass from the right."""
+    counts: Counter[str] = Counter()
+    out, total = [], 0.0  # total: sum of c * log2(c)
+    for n, c in enumerate(reversed(value), 1):
+        k = counts[c]
+        counts[c] = k + 1
+        total += (k + 1) * math.log2(k + 1) - (k * math.log2(k) if k else 0.0)
+        out.append(math.log2(n) - total / n)
+    return out[::-1]
+
+
+class _Literals:
+    """The literals of one text. A bare token that holds operators is scanned once, however many literals end with it."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.token = (0, 0)
+        self.start_of: dict[int, int] = {}  # bare tokens by their ends
+        self.tails: dict[int, list[float]] = {}
+        self.strong: dict[tuple[int, int], bool] = {}  # by span, as many names may stand for one long literal
+
+    def after(self, operator: int) -> tuple[tuple[int, int], bool] | None:
+        """(span, whether it is bare) of the literal that an operator assigns."""
+        at = _OPEN.match(self.text, operator).end()
+        if quoted := _QUOTED.match(self.text, at):
+            return quoted.span(quoted.lastindex), False
+        if not self.token[0] <= at < self.token[1]:
+            found = _BARE.match(self.text, at)
+            if not found:
+                return None
+            self.token = found.span()
+            self.start_of[found.end()] = at
+        return (at, self.token[1]), True
+
+    def is_identifier(self, span: tuple[int, int]) -> bool:
+        found = _IDENTIFIER.match(self.text, *span)
+        return bool(found) and found.end() == span[1]
+
+    def is_strong(self, span: tuple[int, int]) -> bool:
+        if span not in self.strong:
+            start, end = span
+            first = self.start_of.get(end, end)
+            if first <= start < end:
+                if end not in self.tails:
+                    self.tails[end] = _tail_entropies(self.text[first:end])
+                entropy = self.tails[end][start - first]
+            else:
+                entropy = _entropy(self.text[start:end])
+            self.strong[span] = entropy >= NAMED_ENTROPY
+        return self.strong[span]
+
+
 def name_score(name: str) -> float:
     """Sum of what the parts of a name (snake, kebab, dotted or camel case) score, 1.5 at most."""
     parts = re.findall(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+", name)
@@ -79,7 +135,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of one text by start, then kind; code points, end exclusive."""
     found: list[tuple[str, int, int]] = []
     constants: dict[str, tuple[int, int]] = {}
-    strong: dict[tuple[int, int], bool] = {}  # by span, as many names may stand for one long literal
+    literals = _Literals(text)
     base_from = 0
     for operator in _OPERATOR.finditer(text):
         at = operator.start()
@@ -89,23 +145,16 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
                 base_from = value.end()
                 if value.end(1) - value.start(1) >= 12:
                     found.append(("assign", key.start(), value.end()))
-        if start == end:
+        literal = literals.after(at) if start < end else None
+        if not literal:
             continue
-        literal = _LITERAL.match(text, at)
-        if not literal or literal.start(literal.lastindex) <= at:
+        name, (span, bare) = text[start:end], literal
+        names_other = bare and literals.is_identifier(span)
+        known = constants.get(text[slice(*span)]) if names_other and span[1] - span[0] <= NAME_REACH else None
+        constants[name] = span = known or span
+        if name_score(name) < NAMED_SCORE or span[1] - span[0] < NAMED_LENGTH or names_other and not known:
             continue
-        name, span, value = text[start:end], literal.span(literal.lastindex), literal.group(literal.lastindex)
-        bare = literal.lastindex == 3
-        score = name_score(name)
-        known = constants.get(value) if bare and _IDENTIFIER.match(value) else None
-        if known:
-            span = known
-        constants[name] = span
-        if score >= NAMED_SCORE and span[1] - span[0] >= NAMED_LENGTH and (known or not bare or not _IDENTIFIER.match(value)):
-            if span not in strong:
-                strong[span] = _entropy(text[span[0] : span[1]]) >= NAMED_ENTROPY
-            if not strong[span]:
-                continue
+        if literals.is_strong(span):
             found.append(("const" if known else "named", *span))
     found += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
