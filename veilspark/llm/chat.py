@@ -10,8 +10,9 @@ control string gets a backslash after its first character, so none of them stand
 The loss mask lists (start, length) of each assistant text in the formatted string, in code points.
 
 Defined cases: a null text or role counts as empty; a null conversation id is a conversation of its own; turns go by
-turn number, then role, then text, nulls first; repeated rows are turns of their own; records of an unknown layout get
-null turns; an empty table gives an empty result; other columns are not read.
+turn number, then role, then text, nulls first; repeated rows are turns of their own; a field that is null is there, and
+counts as empty; values that are no strings are taken as JSON; list elements that are no turns are left out; records of
+an unknown layout get null turns; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,38 +27,44 @@ BOS, OPEN, CLOSE, EOS = "<s>", "[INST]", "[/INST]", "</s>"
 CONTROL = (BOS, EOS, OPEN, CLOSE)
 TURNS = "array<struct<role: string, text: string>>"
 
-#: Declarative mappings: layout -> (its field paths, SQL over the record `r`, a variant, giving TURNS).
-#: Optional paths stand in lists of their own: each subset of them is a layout too.
+
+def _text(record: str, path: str) -> str:
+    """SQL of a field's text: strings as they are, other values as JSON, null for null and for what is not there."""
+    at = f"{record}, '$.{path}'"
+    return f"coalesce(try_variant_get({at}, 'string'), nullif(to_json(try_variant_get({at}, 'variant')), 'null'))"
+
+
+def _list(path: str, role: str, text: str, names: str = "") -> str:
+    """SQL of the turns in a list of objects; elements that have neither field give no turn."""
+    there = f"filter(try_variant_get(r, '$.{path}', 'array<variant>'), m -> {_there('m', role)} or {_there('m', text)})"
+    named = f"case {_text('m', role)} {names} else {_text('m', role)} end" if names else _text("m", role)
+    return f"transform({there}, m -> struct({named} as role, {_text('m', text)} as text))"
+
+
+def _there(record: str, path: str) -> str:
+    """SQL of whether a record has a path; a field that is null is there."""
+    return f"try_variant_get({record}, '$.{path}', 'variant') is not null"
+
+
+def _pair(user: str, assistant: str, system: bool = True) -> str:
+    """SQL of a system turn, where there is one, a user's and an assistant's."""
+    turns = f"array(struct('user' as role, {user} as text), struct('assistant' as role, {assistant} as text))"
+    first = f"struct('system' as role, {_text('r', 'system')} as text)"
+    return f"if({_text('r', 'system')} is null, {turns}, concat(array({first}), {turns}))" if system else turns
+
+
+#: Declarative mappings: layout -> (its field paths, optional paths, SQL over the record `r`, a variant, giving TURNS).
+#: Each subset of the optional paths is a layout too.
 MAPPINGS: dict[str, tuple[tuple[str, ...], tuple[str, ...], str]] = {
-    "messages": (
-        ("messages[].role", "messages[].content"), (),
-        "transform(variant_get(r, '$.messages', 'array<struct<role: string, content: string>>'), m -> struct(m.role as role, m.content as text))",
-    ),
-    "conversations": (
-        ("conversations[].from", "conversations[].value"), (),
-        "transform(variant_get(r, '$.conversations', 'array<struct<`from`: string, value: string>>'), "
-        "m -> struct(case m.`from` when 'human' then 'user' when 'gpt' then 'assistant' else m.`from` end as role, m.value as text))",
-    ),
+    "messages": (("messages[].role", "messages[].content"), (), _list("messages", "role", "content")),
+    "conversations": (("conversations[].from", "conversations[].value"), (), _list("conversations", "from", "value", "when 'human' then 'user' when 'gpt' then 'assistant'")),
     "instruction": (
         ("instruction", "output"), ("input", "system"),
-        "filter(array(struct('system' as role, variant_get(r, '$.system', 'string') as text), "
-        "struct('user' as role, concat_ws('\\n', variant_get(r, '$.instruction', 'string'), nullif(variant_get(r, '$.input', 'string'), '')) as text), "
-        "struct('assistant' as role, variant_get(r, '$.output', 'string') as text)), m -> m.role <> 'system' or m.text is not null)",
-    ),
-    "prompt": (
-        ("prompt", "response"), ("system",),
-        "filter(array(struct('system' as role, variant_get(r, '$.system', 'string') as text), struct('user' as role, variant_get(r, '$.prompt', 'string') as text), "
-        "struct('assistant' as role, variant_get(r, '$.response', 'string') as text)), m -> m.role <> 'system' or m.text is not null)",
-    ),
-    "completion": (
-        ("prompt", "completion"), ("system",),
-        "filter(array(struct('system' as role, variant_get(r, '$.system', 'string') as text), struct('user' as role, variant_get(r, '$.prompt', 'string') as text), "
-        "struct('assistant' as role, variant_get(r, '$.completion', 'string') as text)), m -> m.role <> 'system' or m.text is not null)",
-    ),
-    "nested": (
-        ("data.prompt", "data.response"), (),
-        "array(struct('user' as role, variant_get(r, '$.data.prompt', 'string') as text), struct('assistant' as role, variant_get(r, '$.data.response', 'string') as text))",
+        _pair(f"concat_ws('\\n', {_text('r', 'instruction')}, nullif({_text('r', 'input')}, ''))", _text("r", "output")),
     ),
+    "prompt": (("prompt", "response"), ("system",), _pair(_text("r", "prompt"), _text("r", "response"))),
+    "completion": (("prompt", "completion"), ("system",), _pair(_text("r", "prompt"), _text("r", "completion"))),
+    "nested": (("data.prompt", "data.response"), (), _pair(_text("r", "data.prompt"), _text("r", "data.response"), system=False)),
 }
 #: Layouts of typed tables with one row a turn: paths -> roles of the columns.
 ROW_LAYOUTS: dict[str, dict[str, str]] = {
@@ -101,8 +108,8 @@ def record_fingerprint(record: str) -> Column:
     def there(path: str) -> str:
         if "[]" in path:  # in some element
             top, leaf = path.split("[].")
-            return f"exists(try_variant_get({record}, '$.{top}', 'array<variant>'), e -> variant_get(e, '$.{leaf}', 'variant') is not null and not is_variant_null(variant_get(e, '$.{leaf}', 'variant')))"
-        return f"(try_variant_get({record}, '$.{path}', 'variant') is not null and not is_variant_null(try_variant_get({record}, '$.{path}', 'variant')))"
+            return f"exists(try_variant_get({record}, '$.{top}', 'array<variant>'), e -> {_there('e', leaf)})"
+        return _there(record, path)
 
     paths = ", ".join(f"if(coalesce({there(p)}, false), '{p}', null)" for p in KNOWN_PATHS)
     return F.expr(f"substring(sha2(array_join(array_compact(array({paths})), '\\n'), 256), 1, 16)")
@@ -118,7 +125,8 @@ def records_to_turns(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     base = base.withColumn("layout", layout)
     for name, (_, _, sql) in MAPPINGS.items():
         turns = F.when(F.col("layout") == name, F.expr(sql).cast(TURNS)).otherwise(turns)
-    return base.select(F.col(f"`{id_col}`"), "layout", turns.alias("turns"))
+    filled = F.transform(turns, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+    return base.select(F.col(f"`{id_col}`"), "layout", filled.alias("turns"))
 
 
 def rows_to_turns(df: DataFrame) -> DataFrame:
