@@ -30,7 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     their score and so their fate. Without labels of both classes all rows get the constant, smoothed share.
     """
     labels = table(spark, sf_dir, "labels")
-    net = quality.train(labelled_sample(docs, labels, "quality", fold("doc_id", 3) != 1, quality.SAMPLE_PER_CLASS))
+    net = quality.train(labelled_sample(docs, labels, "quality", fold("doc_id", 3) != 1))
     return docs.select(*COLUMNS).where(quality.scorer(spark, net)("text") >= QUALITY_THRESHOLD)
 
 

@@ -2,8 +2,8 @@
 
 A text's bytes are cut into overlapping chunks that cover it whole. Each byte is embedded, learned filters slide over
 the chunk, a rectifier and a max over the chunk leave one number a filter, and a linear layer gives the chunk's logit.
-The mean of a text's chunk logits, by chunk length, gives its probability. Training is back-propagation with Adam on a
-bounded sample of labelled texts, in the driver.
+The mean of a text's chunk logits, by chunk length, gives its probability. Training is back-propagation with Adam from
+that probability through all chunks of a text, in the driver, on a bounded sample of whole labelled texts.
 
 Defined cases: a null or empty text scores by one chunk of padding; texts may have any length and are scored whole;
 repeated rows get equal scores; with one class or none among the training rows the score is their constant, smoothed
@@ -22,17 +22,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.kit import map_texts, mix, slices, utf8
+from veilspark.llm.kit import slices, utf8
 
 #: Bytes of a chunk, and bytes that it shares with the next.
 CHUNK, OVERLAP = 1024, 32
 #: Filters see WIDTH bytes and move by HALF of that, so each byte is seen by two of them.
 WIDTH, HALF, EMBEDDED, FILTERS = 8, 4, 8, 24
-#: The fit sees at most this many texts of either class, and this many chunks of each, drawn by a hash from the whole text, and as
-#: many short cuts of those chunks again, so that short texts are judged by their bytes and not by the padding.
-SAMPLE_PER_CLASS, CHUNKS_PER_TEXT = 1500, 2
+#: Beside each whole text the fit sees one cut of it of such a size, so that short texts are judged by their bytes and not by the padding.
 CUTS = (40, 80, 160, 320, 640)
-EPOCHS, BATCH, RATE, SEED = 4, 64, 0.01, 7
+#: Steps of the fit and texts in each, whatever the sample's size; chunks that are convolved at once.
+STEPS, BATCH, RATE, SEED, BLOCK = 450, 32, 0.01, 7, 64
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,20 +49,12 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.where(inside, padded[np.minimum(at, len(data))], 0).astype(np.uint8), text, length
 
 
-def training_chunks(data: np.ndarray) -> np.ndarray:
-    """The chunks and short cuts that one text gives to the fit."""
-    own, _, length = chunks(data, np.array([0, len(data)]))
-    drawn = mix(np.arange(len(own), dtype=np.uint64) + (np.uint64(zlib.crc32(data)) << np.uint64(32)))
-    picked = np.sort(np.argsort(drawn, kind="stable")[:CHUNKS_PER_TEXT])
-    out = [own[picked]]
-    for n, c in enumerate(picked.tolist()):
-        size = CUTS[(len(data) + n) % len(CUTS)]
-        if size < length[c]:
-            at = (len(data) * 7919 + 31 * n) % (int(length[c]) - size)
-            cut = np.zeros((1, CHUNK), np.uint8)
-            cut[0, :size] = own[c, at : at + size]
-            out.append(cut)
-    return np.concatenate(out)
+def training_texts(text: bytes) -> list[bytes]:
+    """What one labelled text gives to the fit: itself, and a cut from anywhere in it."""
+    drawn = zlib.crc32(text)
+    size = CUTS[drawn % len(CUTS)]
+    at = drawn // len(CUTS) % max(1, len(text) - size)
+    return [text, text[at : at + size]] if size < len(text) else [text]
 
 
 @dataclass
@@ -92,45 +83,52 @@ class Network:
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         out = np.empty(len(x))
-        for at in range(0, len(x), 64):
-            pooled = self.convolved(x[at : at + 64])[1].max(axis=1) + self.filter_bias
-            out[at : at + 64] = np.maximum(pooled, 0) @ self.out + self.out_bias[0]
+        for at in range(0, len(x), BLOCK):
+            pooled = self.convolved(x[at : at + BLOCK])[1].max(axis=1) + self.filter_bias
+            out[at : at + BLOCK] = np.maximum(pooled, 0) @ self.out + self.out_bias[0]
         return out
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-        halves, response = self.convolved(x)
-        best = response.argmax(axis=1)
-        rows = np.arange(len(x))[:, None]
-        pooled = np.take_along_axis(response, best[:, None], axis=1)[:, 0] + self.filter_bias
-        active = np.maximum(pooled, 0)
-        error = weight * (1 / (1 + np.exp(-np.clip(active @ self.out + self.out_bias[0], -30, 30))) - y)
-        back = error[:, None] * self.out[None] * (pooled > 0)  # texts x filters
-        windows = np.concatenate([halves[rows, best], halves[rows, best + 1]], axis=2)  # texts x filters x WIDTH * EMBEDDED
-        g_filters = np.einsum("nf,nfw->wf", back, windows)
-        g_windows = (back[:, :, None] * self.filters.T[None]).reshape(-1, EMBEDDED)
-        spots = (best * HALF)[:, :, None] + np.arange(WIDTH)[None, None]
-        g_embedding = np.zeros_like(self.embedding)
-        np.add.at(g_embedding, x[np.arange(len(x))[:, None, None], spots].reshape(-1), g_windows)
-        g_embedding[0] = 0
-        return [g_embedding, g_filters, back.sum(0), error @ active, np.array([error.sum()])]
+    def probabilities(self, x: np.ndarray, text: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Of each text: its chunks' logits, each times the chunk's share of it."""
+        return 1 / (1 + np.exp(-np.clip(np.bincount(text, weights=self.logits(x) * share), -30, 30)))
+
+    def gradients(self, x: np.ndarray, error: np.ndarray) -> list[np.ndarray]:
+        """Of the loss, given its derivatives by the chunks' logits."""
+        total = [np.zeros(p.shape) for p in self.parts()]
+        for at in range(0, len(x), BLOCK):
+            part, own = x[at : at + BLOCK], error[at : at + BLOCK]
+            halves, response = self.convolved(part)
+            best = response.argmax(axis=1)
+            rows = np.arange(len(part))[:, None]
+            pooled = np.take_along_axis(response, best[:, None], axis=1)[:, 0] + self.filter_bias
+            back = own[:, None] * self.out[None] * (pooled > 0)  # chunks x filters
+            windows = np.concatenate([halves[rows, best], halves[rows, best + 1]], axis=2)  # chunks x filters x WIDTH * EMBEDDED
+            spots = (best * HALF)[:, :, None] + np.arange(WIDTH)[None, None]
+            g_windows = (back[:, :, None] * self.filters.T[None]).reshape(-1, EMBEDDED)
+            np.add.at(total[0], part[rows[:, :, None], spots].reshape(-1), g_windows)
+            for sums, g in zip(total[1:], (np.einsum("nf,nfw->wf", back, windows), back.sum(0), own @ np.maximum(pooled, 0), np.array([own.sum()])), strict=True):
+                sums += g
+        total[0][0] = 0
+        return total
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         data, offsets = utf8(texts)
         n = len(offsets) - 1
-        total, size = np.zeros(n), np.zeros(n)
+        out = np.empty(n)
         for at in range(0, n, 256):
             part = offsets[at : at + 257]
             x, text, length = chunks(data[part[0] : part[-1]], part - part[0])
             length = np.maximum(length, 1)
-            total[at : at + 256] += np.bincount(text, weights=self.logits(x) * length, minlength=len(part) - 1)
-            size[at : at + 256] += np.bincount(text, weights=length, minlength=len(part) - 1)
-        return 1 / (1 + np.exp(-np.clip(total / size, -30, 30)))
+            out[at : at + 256] = self.probabilities(x, text, length / np.bincount(text, weights=length)[text])
+        return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """Fit on chunks and their labels; classes weigh alike. Deterministic."""
+def fit(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int = SEED) -> Network:
+    """Fit on whole texts and their labels; classes weigh alike. Deterministic."""
     rng = np.random.default_rng(seed)
     net = Network.new(rng)
+    rows = [(t, label) for text, label in zip(texts, labels, strict=True) for t in training_texts(text)]
+    y = np.array([label for _, label in rows], np.float64)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         net.out[:] = 0
@@ -139,36 +137,29 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) ->
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     parts = net.parts()
     first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
-    epochs = max(epochs, -(-200 * BATCH // len(y)))  # small samples take 200 steps at least
-    step = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for at in range(0, len(y), BATCH):
-            rows = order[at : at + BATCH]
-            step += 1
-            rate = RATE * min(1, step / 20) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for p, m, v, g in zip(parts, first, second, net.gradients(x[rows], y[rows], weight[rows] / len(rows)), strict=True):
-                m *= 0.9
-                m += 0.1 * g
-                v *= 0.999
-                v += 0.001 * g * g
-                p -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
+    order = np.zeros(0, np.int64)
+    for step in range(1, steps + 1):
+        while len(order) < BATCH:  # one shuffled round of all texts after the other
+            order = np.append(order, rng.permutation(len(y)))
+        drawn, order = order[:BATCH], order[BATCH:]
+        sizes = [len(rows[i][0]) for i in drawn]
+        x, text, length = chunks(np.frombuffer(b"".join(rows[i][0] for i in drawn), np.uint8), np.append(0, np.cumsum(sizes)))
+        share = np.maximum(length, 1) / np.bincount(text, weights=np.maximum(length, 1))[text]
+        error = weight[drawn] / BATCH * (net.probabilities(x, text, share) - y[drawn])
+        rate = RATE * min(1, step / 20) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+        for p, m, v, g in zip(parts, first, second, net.gradients(x, error[text] * share), strict=True):
+            m *= 0.9
+            m += 0.1 * g
+            v *= 0.999
+            v += 0.001 * g * g
+            p -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
     return net
 
 
 def train(sample: DataFrame) -> Network:
     """Fit on a bounded sample of (id, label, text)."""
-
-    def kernel(texts):
-        data, offsets = utf8(texts)
-        out = [training_chunks(data[a:b]).tobytes() for a, b in zip(offsets, offsets[1:])]
-        return [pa.array(out, pa.binary())]
-
-    cut = map_texts(sample, ["id", "label"], "text", [T.StructField("chunks", T.BinaryType())], lambda: kernel)
-    rows = sorted(cut.collect(), key=lambda r: r["id"])  # 2 * SAMPLE_PER_CLASS rows of 2 * CHUNKS_PER_TEXT * CHUNK bytes at most
-    x = [np.frombuffer(r["chunks"], np.uint8).reshape(-1, CHUNK) for r in rows]
-    y = np.repeat(np.array([r["label"] for r in rows], np.float64), [len(c) for c in x])
-    return fit(np.concatenate(x) if x else np.zeros((0, CHUNK), np.uint8), y)
+    rows = sorted(sample.select("id", "label", "text").collect(), key=lambda r: r["id"])  # training.CLASS_BYTES bounds their texts
+    return fit([r["text"].encode() for r in rows], [r["label"] for r in rows])
 
 
 def scorer(spark: SparkSession, net: Network) -> Callable[..., Column]:

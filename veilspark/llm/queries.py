@@ -47,7 +47,7 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.train(labelled_sample(docs, labels, "toxic", fold("doc_id", 5) != 0, toxicity.SAMPLE_PER_CLASS))
+    model = toxicity.train(labelled_sample(docs, labels, "toxic", fold("doc_id", 5) != 0))
     return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -68,7 +68,7 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality.train(labelled_sample(docs, labels, "quality", fold("doc_id", 3) != 1, quality.SAMPLE_PER_CLASS))
+    model = quality.train(labelled_sample(docs, labels, "quality", fold("doc_id", 3) != 1))
     return quality.score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
