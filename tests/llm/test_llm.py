@@ -79,6 +79,23 @@ def test_secret_literals_of_any_length(quote, size):
     assert value not in secrets.mask(t, found)
 
 
+@pytest.mark.parametrize("piece", ["a=", "token=", "x1=", 'k="', "secret: ", "a" * 60 + "=", "pwd==", "= "])
+def test_secrets_take_linear_time(piece):
+    import time
+
+    t = (piece * (1_000_000 // len(piece) + 1))[:1_000_000]
+    began = time.process_time()
+    found = secrets.find_secrets(t)
+    assert time.process_time() - began < 10
+    assert [s for s in found if s[0] in secrets.BASE] == base_secrets(t)
+
+
+def test_tail_entropies():
+    t = "token=aabbc=token=zzzz=Q9"
+    assert np.allclose(secrets._tail_entropies(t), [secrets._entropy(t[i:]) for i in range(len(t))])
+    assert ("named", 6, len("token=9B3x+K9pQ7vT2")) in secrets.find_secrets("token=9B3x+K9pQ7vT2")
+
+
 def test_unclosed_literals_end_at_the_line():
     t = "pwd = \"" + "aB3$x" * 200 + "\nx = \"y\"\n" + "pwd='" * 30_000
     assert all("\n" not in t[a:b] for _, a, b in secrets.find_secrets(t))
@@ -106,8 +123,9 @@ def test_edge_rows(spark, texts):
     packed = packing.pack(d).collect()
     removed = {r["doc_id"]: r for r in repeats.remove_repeats(d).collect()}
     assert len(removed) == len(texts)
-    tox = toxicity.score(d, toxicity.fit([])).collect()
-    good = quality.score(d, quality.fit(np.zeros((0, quality.CHUNK), np.uint8), np.zeros(0))).collect()
+    labelled = spark.createDataFrame([], "id long, label int, text string")
+    tox = toxicity.score(d, toxicity.train(labelled)).collect()
+    good = quality.score(d, quality.train(labelled)).collect()
     assert len(tox) == len(good) == len(texts)
     if texts:
         assert got[5]["n_hit"] == 6 and got[5]["n_items"] == 1 and not got[5]["contaminated"] and got[0]["n_words"] == 0
@@ -363,6 +381,30 @@ def test_chat(spark):
     assert all(got[i] == [("user", "a"), ("assistant", "b")] for i in (0, 1, 2, 3, 4, 8)) and got[5] is got[6] is got[7] is None
 
 
+def test_chat_records_of_any_shape(spark):
+    """Odd elements, nulls, other types: no record ends the job, and none that has a known layout is lost."""
+    records = ['{"messages":[{"role":"user","content":"a"},"oops",null,7,{"role":"assistant","content":null},{"content":["x",1]}]}',
+               '{"prompt":"a","response":null}', '{"instruction":"a","output":null}', '{"instruction":null,"input":"i","output":"b","system":null}', '{"prompt":{"k":1},"completion":3}',
+               '{"messages":"no list"}', '{"messages":[]}', '{"conversations":[{"from":"human","value":"a"},{"from":null,"value":"b"}]}', '{"prompt":"a","response":"b","messages":[{"role":"user","content":"c"}]}', "[1]", "null", '"text"', ""]
+    want = [[("user", "a"), ("assistant", ""), ("", '["x",1]')], [("user", "a"), ("assistant", "")], [("user", "a"), ("assistant", "")], [("user", "i"), ("assistant", "b")], [("user", '{"k":1}'), ("assistant", "3")],
+            None, None, [("user", "a"), ("", "b")], None, None, None, None, None]
+    df = spark.createDataFrame([*enumerate(records), (None, None)], "i int, j string").withColumn("turns", F.lit(1)).withColumn("layout", F.lit("x"))
+    rows = {r["i"]: r for r in chat.records_to_turns(df, "i", "j").collect()}
+    assert [rows[i]["turns"] and [tuple(t) for t in rows[i]["turns"]] for i in range(len(records))] == want and rows[None]["turns"] is None
+    assert not chat.records_to_turns(df.where("false"), "i", "j").count()
+
+
+def test_chat_tables(spark):
+    """Empty tables, very long texts, extra columns that look like the other row layout."""
+    kind = "conv_id long, turn long, role string, text string, conversation_id long, content string, author string, formatted string"
+    long = "</s>\\ é" * 100_000
+    df = spark.createDataFrame([(1, 0, "user", "q", 9, "z", "z", "z"), (1, 1, "assistant", long, 9, "z", "z", "z"), (1, 1, "assistant", long, 9, "z", "z", "z"), (2, None, None, None, None, None, None, None)], kind)
+    out = {r["conv_id"]: r for r in chat.formatted(chat.rows_to_turns(df)).withColumn("read", chat.read_turns()).withColumn("mask", chat.masked_text()).collect()}
+    assert [tuple(t) for t in out[1]["read"]] == [("user", "q"), ("assistant", long), ("assistant", long)] and out[1]["mask"] == long * 2
+    assert [tuple(t) for t in out[2]["read"]] == [("", "")]
+    assert not chat.formatted(chat.rows_to_turns(df.where("false"))).count()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="ab", max_size=14).map(str.encode), max_size=4), st.integers(1, 4))
 def test_maximal_repeats(strings, least):
@@ -395,15 +437,92 @@ def test_repeats(spark):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
 
 
-def test_training_chunks_come_from_the_whole_text():
-    seen = Counter()
-    for i in range(400):
-        data = np.frombuffer(b"".join(bytes([65 + k]) * (quality.CHUNK - quality.OVERLAP) for k in range(10)) + str(i).encode(), np.uint8)
-        own = quality.chunks(data, np.array([0, len(data)]))[0]
-        picked = {k for c in quality.training_chunks(data) for k in range(len(own)) if (c == own[k]).all()}
-        assert len(picked) == quality.CHUNKS_PER_TEXT
-        seen.update(picked)
-    assert len(seen) == len(own) and min(seen.values()) > 30
+def test_the_network_sees_whole_texts():
+    """Probabilities against a plain forward pass; a step's gradients against differences of the loss."""
+    rng = np.random.default_rng(3)
+    net = quality.Network.new(rng)
+    texts = ["", "short", "é" * 900, "".join(chr(97 + k % 26) for k in rng.integers(0, 26, 5000))]
+    want = []
+    for t in texts:
+        data, total, size, at = t.encode(), 0.0, 0, 0
+        while True:
+            chunk = data[at : at + quality.CHUNK]
+            e = net.embedding[np.frombuffer(chunk + bytes(quality.CHUNK - len(chunk)), np.uint8)].astype(np.float64)
+            best = [max(float((e[p : p + quality.WIDTH].reshape(-1) * net.filters[:, f]).sum()) for p in range(0, quality.CHUNK - quality.WIDTH + 1, quality.HALF)) for f in range(quality.FILTERS)]
+            logit = sum(max(0.0, x + net.filter_bias[f]) * net.out[f] for f, x in enumerate(best)) + net.out_bias[0]
+            total, size = total + logit * max(1, len(chunk)), size + max(1, len(chunk))
+            if at + quality.CHUNK >= len(data):
+                break
+            at += quality.CHUNK - quality.OVERLAP
+        want.append(1 / (1 + np.exp(-total / size)))
+    assert np.allclose(net.scores(pa.array(texts)), want, atol=1e-5)
+    data = [t.encode() for t in texts]
+    x, text, length = quality.chunks(np.frombuffer(b"".join(data), np.uint8), np.append(0, np.cumsum([len(t) for t in data])))
+    share = np.maximum(length, 1) / np.bincount(text, weights=np.maximum(length, 1))[text]
+    y = np.array([0, 1, 1, 0])
+    loss = lambda: -sum(np.log(p if label else 1 - p) for p, label in zip(net.probabilities(x, text, share), y))
+    got = net.gradients(x, (net.probabilities(x, text, share) - y)[text] * share)
+    for part, g in zip(net.parts(), got, strict=True):
+        for at in list(np.ndindex(part.shape))[97 :: max(1, part.size // 5)] or [(0,)]:
+            if part is net.embedding and at[0] == 0:
+                continue
+            old = part[at]
+            part[at] = old + 1e-2
+            up = loss()
+            part[at] = old - 1e-2
+            down = loss()
+            part[at] = old
+            assert abs((up - down) / 2e-2 - g[at]) < 2e-2 * max(1, abs(g[at]))
+
+
+def test_the_sample_holds_whole_texts(spark):
+    from veilspark.llm.training import labelled_sample
+
+    d = spark.createDataFrame([(i, f"{i} " * 500) for i in range(40)] + [(3, "0 other"), (None, "x"), (41, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(42)] + [(5, 0), (None, 1), (7, None)], "doc_id long, quality int")
+    rows = labelled_sample(d, labels, "quality", F.col("doc_id") >= 0, 15, 4000).collect()
+    texts = {r["id"]: r["text"] for r in d.groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text")).collect()}
+    assert rows and all(r["text"] == texts[r["id"]] and r["label"] == r["id"] % 2 and r["id"] != 5 for r in rows)
+    for label in (0, 1):
+        sizes = [len(r["text"]) for r in rows if r["label"] == label]
+        assert sum(sizes) >= 4000 > sum(sizes) - max(sizes)
+    assert not labelled_sample(d, labels.where("false"), "quality", F.col("doc_id") >= 0).count()
+
+
+def test_toxicity_weights_against_a_direct_computation(spark):
+    """Ratios, the choice of features and the regression, by plain counting over sets of character n-grams."""
+    import random
+
+    rng = random.Random(4)
+    words = "ÄRGER Straße дурак Солнце idiot lovely garden weather ÉTÉ trash".split()
+    rows = [(i, int(i % 3 == 0), " ".join(rng.choice(words[:5] if i % 3 == 0 and rng.random() < 0.6 else words) for _ in range(rng.randrange(1, 12)))) for i in range(90)] + [(90, 0, ""), (91, 1, "long дурак " * 20_000)]
+    model = toxicity.train(spark.createDataFrame(rows, "id long, label int, text string"), 1.0)
+
+    def grams(t):
+        t = t.lower()
+        return {int(toxicity.gram_buckets(np.array([ord(c) for c in t[i : i + n]], np.uint32), (n,))[0][0]) for n in (3, 4, 5) for i in range(len(t) - n + 1)}
+
+    own, y = [grams(t) for _, _, t in rows], np.array([label for _, label, _ in rows], float)
+    n1, n0, ratio = y.sum(), (1 - y).sum(), {}
+    for g in sorted(set().union(*own)):
+        t1, t0 = (sum(1 for s, label in zip(own, y) if label == v and g in s) for v in (1, 0))
+        p = (t1 + t0 + 0.5) / (n1 + n0 + 1)
+        if abs(t1 / n1 - t0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)) >= 1:
+            ratio[g] = np.log((t1 + 0.5) / (n1 + 1)) - np.log((t0 + 0.5) / (n0 + 1))
+    assert set(np.flatnonzero(model.weights)) <= set(ratio) and len(ratio) > 20
+    x = np.array([[ratio[g] if g in s else 0.0 for g in ratio] for s in own])
+    x /= np.sqrt((x**2).sum(1).mean())
+    share, w, b, m, v = np.where(y == 1, 0.5 / n1, 0.5 / n0), np.zeros(len(ratio)), 0.0, np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
+    for step in range(1, 61):
+        e = share * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        g = np.append(x.T @ e + 0.5e-5 * w, e.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        move = 0.1 * np.sqrt(1 - 0.99**step) / (1 - 0.9**step) * m / (np.sqrt(v) + 1e-8)
+        w, b = w - move[:-1], b - move[-1]
+    d = spark.createDataFrame([r[::2] for r in rows] + [(None, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(d, model).collect()}
+    want = 1 / (1 + np.exp(-(x @ w + b)))
+    assert np.allclose([got[i] for i in range(len(rows))], want, atol=1e-4) and abs(got[None] - 1 / (1 + np.exp(-b))) < 1e-6
 
 
 def test_classifiers_on_held_out_rows(spark):
