@@ -11,11 +11,6 @@ from pyspark.sql import functions as F
 CI, CS = "(?iuUd)", "(?uUd)"
 
 
-def quoted(text: str) -> str:
-    """A literal for a Java pattern, escaped character by character so that case flags still apply."""
-    return "".join(c if c.isalnum() or c in "_ " else "\\" + c for c in text)
-
-
 def matches(s: Column, pattern: str | Column) -> Column:
     """array<struct<a, b, m>> of all matches, half-open code-point offsets. The pattern must not match the empty string."""
     p = F.lit(pattern) if isinstance(pattern, str) else pattern

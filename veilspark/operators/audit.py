@@ -34,14 +34,19 @@ def with_fill(results: DataFrame) -> DataFrame:
     return results.withColumn("fill", fill)
 
 
-def audits(items: DataFrame, results: DataFrame, base: RuleBase) -> DataFrame:
-    """One row: keep_losses, idempotence_failures, residual_confirmed (rows)."""
+def row_audits(items: DataFrame, results: DataFrame, base: RuleBase) -> DataFrame:
+    """(row_id, keep_losses, idempotence_failures, residual_confirmed): whether each row fails one of the guards."""
+    base = base.indexed()
     both = items.select("row_id", "name", "code", "factory").join(results.select("row_id", "text"), "row_id")
-    losses = both.where(keep_signature(F.col("name")) != keep_signature(F.col("text"))).agg(F.count("*").alias("keep_losses"))
     again = anonymize(both.select("row_id", F.col("text").alias("name"), "code", "factory"), base).select("row_id", F.col("text").alias("again"))
-    moved = both.join(again, "row_id").where("text <> again").agg(F.count("*").alias("idempotence_failures"))
-    left = redaction_spans(both.select("row_id", "text", "code", "factory"), base).agg(F.count_distinct("row_id").alias("residual_confirmed"))
-    return losses.crossJoin(moved).crossJoin(left)  # one row each
+    left = redaction_spans(both.select("row_id", "text", "code", "factory"), base).select("row_id", F.lit(True).alias("left")).distinct()
+    out = both.join(again, "row_id").join(left, "row_id", "left")
+    return out.select("row_id", (keep_signature(F.col("name")) != keep_signature(F.col("text"))).alias("keep_losses"), (F.col("text") != F.col("again")).alias("idempotence_failures"), F.coalesce("left", F.lit(False)).alias("residual_confirmed"))
+
+
+def audits(items: DataFrame, results: DataFrame, base: RuleBase) -> DataFrame:
+    """One row: keep_losses, idempotence_failures, residual_confirmed (rows)."""
+    return row_audits(items, results, base).agg(*(F.count_if(c).alias(c) for c in ("keep_losses", "idempotence_failures", "residual_confirmed")))
 
 
 def batch_summary(files: DataFrame) -> DataFrame:

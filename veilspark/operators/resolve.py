@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.dialect import stripped
@@ -28,8 +28,9 @@ def longest_alias(df: DataFrame, base: RuleBase, text: str, key: str = "row_id",
     index = base.alias_index().where(F.length("alias_norm") >= LEAST_ALIAS).withColumnRenamed("inn", "alias_inn")
     if whole_words:
         index = index.where(~F.col("alias_norm").isin(*GENERIC_NOUNS))
-    spread = df.select(key, F.col(text).alias("__t"), F.explode(words(F.col(text))).alias("first_word"))
-    hit = spread.join(index, "first_word").where(F.col("__t").contains(F.col("alias_norm")))
+    # words meet aliases without the text, which is fetched for those that meet
+    met = df.select(key, F.explode(F.array_distinct(words(F.col(text)))).alias("first_word")).join(index, "first_word").drop("first_word")
+    hit = met.join(df.select(key, F.col(text).alias("__t")), key).where(F.col("__t").contains(F.col("alias_norm")))
     if whole_words:
         hit = hit.where(F.rlike("__t", F.concat(F.lit(r"(?iuUd)(?<!\w)"), quoted_column(F.col("alias_norm")), F.lit(r"(?!\w)"))))
     best = F.min(F.struct((-F.length("alias_norm")).alias("n"), "alias_norm", "alias_inn"))
@@ -62,16 +63,25 @@ def identify_in_text(df: DataFrame, base: RuleBase, text: str = "text", key: str
     return rows.join(inside, key, "left").select(key, F.when(F.col("known"), F.col("own_inn")).otherwise(F.col("inside_inn")).alias("inn")).where("inn is not null")
 
 
-def identify_marker(df: DataFrame, base: RuleBase, text: str = "text", key: str = "row_id", gram: int = 6) -> DataFrame:
-    """(key, inn, factory): the longest verified marker inside a text, as written.
+def grams(text: Column, n: int) -> Column:
+    """The distinct substrings of n characters."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))
 
-    Markers of `gram` characters or more meet texts by their first `gram` characters; the few shorter ones are tried on all.
-    """
-    marks = base.markers.select("ord", F.trim("contains").alias("marker"), F.trim("inn").alias("inn"), F.trim("manufacturer").alias("manufacturer")).where("marker <> '' and inn <> ''")
+
+#: Markers meet texts by their first characters: so many, or the next smaller number for shorter markers.
+GRAMS = (6, 3, 1)
+
+
+def identify_marker(df: DataFrame, base: RuleBase, text: str = "text", key: str = "row_id") -> DataFrame:
+    """(key, inn, factory): the longest verified marker inside a text, as written."""
+    solid = lambda c: stripped(F.col(c)).alias(c)
+    marks = base.markers.select("ord", stripped(F.col("contains")).alias("marker"), solid("inn"), solid("manufacturer")).where("marker <> '' and inn <> ''")
     names = base.maker_names().select("inn", F.col("manufacturer").alias("named"))
     marks = marks.join(names, "inn", "left").select("ord", "marker", "inn", F.coalesce(F.nullif("manufacturer", F.lit("")), "named", F.lit("")).alias("factory"))
-    starts = F.when(F.length(text) >= gram, F.sequence(F.lit(1), F.length(text) - gram + 1)).otherwise(F.array().cast("array<int>"))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(gram))))
-    spread = df.select(key, F.col(text).alias("__t"), F.explode(F.array_append(grams, F.lit(""))).alias("gram"))
-    hit = spread.join(marks.withColumn("gram", F.when(F.length("marker") >= gram, F.substring("marker", 1, gram)).otherwise("")), "gram").where(F.col("__t").contains(F.col("marker")))
+    first = F.lit(None).cast("string")
+    for n in reversed(GRAMS):
+        first = F.when(F.length("marker") >= n, F.substring("marker", 1, n)).otherwise(first)
+    met = df.select(key, F.explode(F.concat(*(grams(F.col(text), n) for n in GRAMS))).alias("gram")).join(marks.withColumn("gram", first), "gram").drop("gram")
+    hit = met.join(df.select(key, F.col(text).alias("__t")), key).where(F.col("__t").contains(F.col("marker")))
     return hit.groupBy(key).agg(F.min(F.struct((-F.length("marker")).alias("n"), "ord", "inn", "factory")).alias("b")).select(key, "b.inn", "b.factory")

@@ -24,6 +24,20 @@ _SUPPLIER = f"s AS (SELECT s_suppkey, {_INN} AS inn, 'ООО \"Ромашка-'
 _ALIASES = f"""{_SUPPLIER}, a AS (SELECT s_suppkey * 2 AS ord, inn, 'Ромашка-' || s_suppkey || '-Прибор' AS alias FROM s UNION ALL SELECT s_suppkey * 2 + 1, inn, 'Ромашка-' || (s_suppkey % 7) FROM s),
  idx AS (SELECT lower(alias) AS alias_norm, arg_min(inn, ord) AS inn FROM a GROUP BY 1)"""
 
+# the maker of each item: the registry's, else the one given, and its inn by tax id, exact alias or alias inside
+_MADE = """f AS (SELECT p_partkey AS row_id, p_partkey % 50 AS k, CASE WHEN p_partkey % 3 = 0 THEN 'ООО "Ромашка-' || (p_partkey % 10 + 1) || '-Прибор"' ELSE '' END AS given FROM part),
+made AS (SELECT row_id, CASE WHEN k BETWEEN 0 AND least(20, (SELECT max(s_suppkey) FROM s)) THEN 'АО Прибор ИНН ' || lpad(CAST(k AS VARCHAR), 10, '0') ELSE given END AS factory,
+ CASE WHEN k BETWEEN 0 AND least(20, (SELECT max(s_suppkey) FROM s)) THEN lpad(CAST(k AS VARCHAR), 10, '0') WHEN given = '' THEN ''
+ ELSE coalesce(idx.inn, (SELECT arg_max(i.inn, length(i.alias_norm)) FROM idx i WHERE length(i.alias_norm) >= 7 AND contains(lower(given), i.alias_norm)), '') END AS inn
+FROM f LEFT JOIN idx ON alias_norm = replace(replace(lower(given), 'ооо "', ''), '"', ''))"""
+_CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(
+ regexp_replace(name, 'ТУ [0-9][0-9-]+|арт\. [0-9/-]+|ИНН [0-9]+|Заявка № [0-9]+/а|www\.\S+', ' ', 'g'), '\s+', ' ', 'g'), '\s+([,;:.])', '\1', 'g'), '([,;])\s*([,;])+', '\1', 'g'), ' ,;.-')"""
+# an item's own tax id is a maker's where the rule base knows it
+_RESULTS = f"""{_ALIASES}, {_ITEMS}, {_MADE}, known AS (SELECT row_id, name, factory, made.inn AS fixed, coalesce(nullif(made.inn, ''), s.inn, '') AS inn
+ FROM items JOIN made USING (row_id) LEFT JOIN s ON s.inn = regexp_extract(name, 'ИНН ([0-9]{{10,12}})', 1)),
+results AS (SELECT row_id, {_CLEAN} AS text, inn, CASE WHEN inn <> '' THEN 'ЗЕЛЁНЫЙ' ELSE 'ЖЁЛТЫЙ' END AS status, {_CLEAN} <> name AS changed,
+ CASE WHEN inn <> '' THEN '' ELSE 'Производитель не определён: применены только безопасные системные правила' END AS reason, factory, '' AS applied FROM known)"""
+
 
 def query(oracle: str | None = None):
     def register(f):
@@ -35,14 +49,14 @@ def query(oracle: str | None = None):
     return register
 
 
-@query()
+@query(f"WITH {_RESULTS} SELECT row_id, text, status, reason, factory, inn, applied, changed FROM results")
 def anonymize_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole item path: resolve, fold rules to a fixpoint, clean up, report a status."""
     out = anonymize(synth.items(spark, sf_dir), synth.rule_base(spark, sf_dir))
     return out.withColumn("applied", F.array_join("applied", "|"))
 
 
-@query()
+@query(f"""WITH {_RESULTS} SELECT count(*) AS rows, count(*) FILTER (changed) AS changed, count(*) FILTER (status = 'ЗЕЛЁНЫЙ') AS green, count(*) FILTER (status = 'ЖЁЛТЫЙ') AS yellow FROM results""")
 def status_report(spark, sf_dir):
     return audit.report(anonymize(synth.items(spark, sf_dir), synth.rule_base(spark, sf_dir)))
 
@@ -53,7 +67,8 @@ def audits(spark, sf_dir):
     return audit.audits(rows, anonymize(rows, base), base)
 
 
-@query()
+@query(rf"""WITH {_ITEMS}, m AS (SELECT row_id, name, unnest([('standalone_tu;tu', 'ТУ [0-9][0-9-]+'), ('article', 'арт\. [0-9/-]+'), ('contact', 'ИНН [0-9]+|www\.\S+'), ('request', 'Заявка № [0-9]+/а')]) AS t FROM items)
+SELECT row_id, instr(name, regexp_extract(name, t[2])) - 1 AS a, instr(name, regexp_extract(name, t[2])) - 1 + length(regexp_extract(name, t[2])) AS b, t[1] AS label FROM m WHERE regexp_matches(name, t[2])""")
 def redaction_spans(spark, sf_dir):
     rows = synth.items(spark, sf_dir).withColumnRenamed("name", "text")
     return spans.redaction_spans(rows, synth.rule_base(spark, sf_dir)).select("row_id", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "label")
@@ -111,11 +126,7 @@ def unique_triggers(spark, sf_dir):
     return synth.rule_base(spark, sf_dir).unique_triggers().select("inn", "trigger")
 
 
-@query(f"""WITH {_ALIASES}, f AS (SELECT p_partkey AS row_id, p_partkey % 50 AS k, CASE WHEN p_partkey % 3 = 0 THEN 'ООО "Ромашка-' || (p_partkey % 10 + 1) || '-Прибор"' ELSE '' END AS given FROM part)
-SELECT row_id, CASE WHEN k BETWEEN 0 AND least(20, (SELECT max(s_suppkey) FROM s)) THEN 'АО Прибор ИНН ' || lpad(CAST(k AS VARCHAR), 10, '0') ELSE given END AS factory,
- CASE WHEN k BETWEEN 0 AND least(20, (SELECT max(s_suppkey) FROM s)) THEN lpad(CAST(k AS VARCHAR), 10, '0') WHEN given = '' THEN ''
- ELSE coalesce(idx.inn, (SELECT arg_max(i.inn, length(i.alias_norm)) FROM idx i WHERE length(i.alias_norm) >= 7 AND contains(lower(given), i.alias_norm)), '') END AS inn
-FROM f LEFT JOIN idx ON alias_norm = replace(replace(lower(given), 'ооо "', ''), '"', '')""")
+@query(f"WITH {_ALIASES}, {_MADE} SELECT row_id, factory, inn FROM made")
 def resolve_factory(spark, sf_dir):
     return resolve.resolve_factory(synth.items(spark, sf_dir), synth.rule_base(spark, sf_dir))
 
@@ -193,8 +204,7 @@ def alias_longest(spark, sf_dir):
     return resolve.longest_alias(rows, synth.rule_base(spark, sf_dir), "text")
 
 
-@query(rf"""WITH {_ITEMS} SELECT row_id, trim(regexp_replace(regexp_replace(regexp_replace(
- regexp_replace(name, 'ТУ [0-9][0-9-]+|арт\. [0-9/-]+|ИНН [0-9]+|Заявка № [0-9]+/а|www\.\S+', ' ', 'g'), '\s+', ' ', 'g'), '\s+([,;:.])', '\1', 'g'), '([,;])\s*([,;])+', '\1', 'g'), ' ,;.-') AS text FROM items""")
+@query(f"WITH {_ITEMS} SELECT row_id, {_CLEAN} AS text FROM items")
 def system_rules(spark, sf_dir):
     return cleanup(synth.items(spark, sf_dir).select("row_id", F.col("name").alias("text")), "text")
 

@@ -6,12 +6,14 @@ import csv
 import io
 import re
 import zipfile
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.functions.dialect import stripped
 from veilspark.functions.normalize import normalize_header, title_key
 
 CELLS = "file string, sheet string, r int, c int, value string, data_type string"
@@ -49,19 +51,33 @@ def _xlsx_cells(data: bytes):
                     yield sheet.get("name"), int(row), column, shared[int(value)] if kind == "s" else value, kind
 
 
-def _csv_cells(data: bytes):
+def delimited_rows(data: bytes) -> tuple[list[list[str]], type[csv.Dialect]]:
+    """(rows, dialect) of a delimited file: UTF-8 or cp1251, separator sniffed among ; , and tab."""
     try:
         text = data.decode("utf-8-sig")
     except UnicodeDecodeError:
         text = data.decode("cp1251")
+    if not text.strip():
+        raise ValueError("the file has no rows")
     dialect = csv.Sniffer().sniff(text[:SNIFFED], delimiters=";,\t")
-    for r, row in enumerate(csv.reader(text.splitlines(), dialect), 1):
+    return list(csv.reader(text.splitlines(), dialect)), dialect
+
+
+def _csv_cells(data: bytes):
+    for r, row in enumerate(delimited_rows(data)[0], 1):
         for c, value in enumerate(row, 1):
             yield "", r, c, value, "s"
 
 
-def _read(spark: SparkSession, path: str, pattern: str, parse) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+def raw_files(spark: SparkSession, path: str, pattern: str, outputs: bool = True) -> DataFrame:
+    """(path, content) of the files under a path, with or without outputs of earlier runs."""
+    name = F.regexp_extract("path", r"([^/\\]*)$", 1)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    return found if outputs else found.where(~F.lower(name).rlike(r"_обезличено\.[^.]*$"))
+
+
+def _read(spark: SparkSession, path: str, pattern: str, parse, outputs: bool) -> DataFrame:
+    files = raw_files(spark, path, pattern, outputs)
 
     def cells(batches):
         for batch in batches:
@@ -72,17 +88,22 @@ def _read(spark: SparkSession, path: str, pattern: str, parse) -> DataFrame:
                     rows = [(file, None, None, None, f"{type(why).__name__}: {why}", "failed")]
                 yield pd.DataFrame(rows, columns=[f.split()[0] for f in CELLS.split(", ")])
 
-    return files.mapInPandas(cells, CELLS)
+    # the reader passes over files without a byte; its listing has them
+    listed = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(f)),) for f in files.inputFiles()], "file string")
+    empty = listed.where(listed["file"].rlike(r"_обезличено\.[^.]*$") == F.lit(False)) if not outputs else listed
+    empty = empty.join(files.select(F.col("path").alias("file")), "file", "left_anti")
+    failed = empty.select("file", *(F.lit(None).cast(t).alias(c) for c, t in (("sheet", "string"), ("r", "int"), ("c", "int"))), F.lit("the file is empty").alias("value"), F.lit("failed").alias("data_type"))
+    return files.mapInPandas(cells, CELLS).unionByName(failed)
 
 
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+def read_workbooks(spark: SparkSession, path: str, outputs: bool = True) -> DataFrame:
     """Cells of all .xlsx and .xlsm files; a file that fails gives one row of type 'failed'."""
-    return _read(spark, path, "*.xls[xm]", _xlsx_cells)
+    return _read(spark, path, "*.[xX][lL][sS][xXmM]", _xlsx_cells, outputs)
 
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, outputs: bool = True) -> DataFrame:
     """Cells of all .csv files: UTF-8 or cp1251, separator sniffed among ; , and tab."""
-    return _read(spark, path, "*.csv", _csv_cells)
+    return _read(spark, path, "*.[cC][sS][vV]", _csv_cells, outputs)
 
 
 def select_sheets(cells: DataFrame) -> DataFrame:
@@ -108,14 +129,9 @@ def find_headers(cells: DataFrame, code_names: tuple[str, ...] = ROLES["code"])
 def item_rows(cells: DataFrame, headers: DataFrame, workbook: bool = True) -> DataFrame:
     """Items (file, sheet, r, name, code, factory) below the header; skips blanks, errors and a second header of numbers."""
     below = cells.join(headers.select("file", "sheet", F.col("r").alias("h"), "code", "name", "factory"), ["file", "sheet"]).where("r > h")
-    at = lambda role: F.trim(F.coalesce(F.max(F.when(F.col("c") == F.col(role), F.col("value"))), F.lit("")))
+    at = lambda role: stripped(F.coalesce(F.max(F.when(F.col("c") == F.col(role), F.col("value"))), F.lit("")))
     rows = below.groupBy("file", "sheet", "r", "h").agg(at("name").alias("item"), at("code").alias("item_code"), at("factory").alias("item_factory"), F.max(F.when(F.col("c") == F.col("name"), F.col("data_type"))).alias("kind"))
     rows = rows.where("item <> ''")
     if workbook:
         rows = rows.where(F.coalesce("kind", F.lit("")) != "e").where(~F.col("item").rlike(r"(?i)^#[A-Z0-9/?!._-]+$")).where(~((F.col("r") <= F.col("h") + 5) & F.col("item_code").isin("1", "2") & F.col("item").isin("3", "4")))
     return rows.select("file", "sheet", "r", F.col("item").alias("name"), F.col("item_code").alias("code"), F.col("item_factory").alias("factory"))
-
-
-def write_delimited(results: DataFrame, path: str, sep: str = ";") -> None:
-    """Result rows as delimited text; the factory column is blanked, result and status stand last."""
-    results.withColumn("factory", F.lit("")).write.option("sep", sep).option("header", True).csv(path)
