@@ -15,7 +15,7 @@ from veilspark.functions.dialect import matches
 from veilspark.functions.system_rules import SPAN_RULES, TU_CODE, cleanup
 from veilspark.operators import audit, intervals, layout, pages, resolve, spans
 from veilspark.operators.anonymize import GREEN, REASON, YELLOW, anonymize
-from veilspark.plans import catalog, rulebase
+from veilspark.plans import catalog, rule_rows, rulebase
 from veilspark.plans.rulebase import ALIASES, GLOBALS, MARKERS, REGISTRY, RULES, RuleBase
 from veilspark.sources import files, sheets, workbooks
 
@@ -340,3 +340,15 @@ def test_catalog_matches_duckdb(spark, name):
     assert columns == sorted(want.columns)
     order = [want.columns.index(c) for c in columns]
     assert sorted(tuple(map(str, (r[c] for c in columns))) for r in df.collect()) == sorted(tuple(str(r[i]) for i in order) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(rule_rows.QUERIES))
+def test_rule_rows_hit_and_miss(spark, name):
+    """Each rule's rows hold hits, misses and nulls, so that agreement with DuckDB says something."""
+    kind, of = name.split("_", 1)
+    texts = rule_rows.RULES[of][0] if kind == "rule" else rule_rows.TRIGGERS[of][2]
+    given = {r["row_id"]: r["text"] for r in rule_rows._rows(spark, SF, texts).collect()}
+    got = {r[0]: r[1] for r in rule_rows.QUERIES[name](spark, SF).collect()}
+    bare = lambda t: re.sub(r"\s+", "", t or "").strip(",;.-")
+    hit = {i % 6: bare(got[i]) != bare(t) if kind == "rule" else got[i] is not None for i, t in given.items() if t is not None}
+    assert len(hit) == 5 and 1 <= sum(hit.values()) <= 4 and all(got[i] is None for i, t in given.items() if t is None)

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import normalize as N
 from veilspark.functions.keep import fragments, keep_signature, replace_keep
-from veilspark.functions.system_rules import ARTICLE, COMMERCIAL_DANGLING, CONTACT, LETTER_TAIL, REQUEST, ROLE_ORG, TU_CODE, cleanup
+from veilspark.functions.system_rules import ARTICLE, CONTACT, TU_CODE, cleanup
 from veilspark.operators import audit, intervals, layout, pages, resolve, spans
 from veilspark.operators.anonymize import anonymize
-from veilspark.plans import synth
+from veilspark.plans import rule_rows, synth
 from veilspark.plans.synth import INN_SQL, NAME_SQL, table
 from veilspark.sources import sheets
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict = {**rule_rows.QUERIES}
+ORACLE_SQL: dict[str, str] = {**rule_rows.ORACLE_SQL}
 _NAME = NAME_SQL.replace("{s}", "varchar")
 _INN = INN_SQL.replace("{s}", "varchar")
 _ITEMS = f"items AS (SELECT p_partkey AS row_id, {_NAME} AS name FROM part)"
@@ -84,9 +84,9 @@ def extract_inn(spark, sf_dir):
     return synth.items(spark, sf_dir).select("row_id", N.extract_inn(F.col("name")).alias("inn"))
 
 
-@query("SELECT s_suppkey AS row_id, CAST(s_suppkey AS VARCHAR) AS code FROM supplier")
+@query(r"SELECT s_suppkey AS row_id, regexp_replace(trim(' ' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '.0 ' ELSE '.05' END), '^(-?[0-9]+)\.0$', '\1') AS code FROM supplier")
 def normalize_code(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("row_id"), N.normalize_code(F.expr("concat(' ', cast(s_suppkey as string), '.0 ')")).alias("code"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("row_id"), N.normalize_code(F.expr("concat(' ', cast(s_suppkey as string), case when s_suppkey % 2 = 0 then '.0 ' else '.05' end)")).alias("code"))
 
 
 @query("SELECT p_partkey AS row_id, '6410-' || (100000 + p_partkey % 50) || '-3|' || (100000 + p_partkey % 50) || '|6410' AS candidates FROM part")
@@ -164,28 +164,10 @@ def redact_articles(spark, sf_dir):
     return synth.items(spark, sf_dir).select("row_id", F.regexp_replace("name", ARTICLE, " ").alias("redacted"))
 
 
-@query("SELECT p_partkey AS row_id, 'Болт  , лист' AS redacted FROM part")
-def redact_letter_refs(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey as row_id", "concat('Болт № ', cast(p_partkey as string), '/12-А от 12.03.2019, лист') as text")
-    return rows.select("row_id", F.regexp_replace(F.regexp_replace("text", LETTER_TAIL, " "), REQUEST, " ").alias("redacted"))
-
-
 def _parts(spark, sf_dir, text):
     return table(spark, sf_dir, "part").selectExpr("p_partkey as row_id", f"{text} as text")
 
 
-@query("SELECT p_partkey AS row_id, 'Насос  , DN' || p_size AS redacted FROM part")
-def redact_orgs(spark, sf_dir):
-    rows = _parts(spark, sf_dir, "concat('Насос изготовитель: ООО \"Завод ', cast(p_partkey as string), '\", DN', cast(p_size as string))")
-    return rows.select("row_id", F.regexp_replace("text", ROLE_ORG, " ").alias("redacted"))
-
-
-@query("SELECT p_partkey AS row_id, 'Кран DN' || p_size || '.  ; лист' AS redacted FROM part")
-def redact_commercial(spark, sf_dir):
-    rows = _parts(spark, sf_dir, "concat('Кран DN', cast(p_size as string), '. Прайс лист № ', cast(p_partkey as string), ' от 12.03.2019 поз. 3; лист')")
-    return rows.select("row_id", F.regexp_replace("text", COMMERCIAL_DANGLING, " ").alias("redacted"))
-
-
 @query("SELECT p_partkey AS row_id, 'Болт, лист М' || p_size AS redacted FROM part")
 def tidy_punct(spark, sf_dir):
     rows = _parts(spark, sf_dir, "concat(' Болт  ,, лист ( ) М', cast(p_size as string), ' ;')")
