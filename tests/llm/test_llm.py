@@ -153,7 +153,8 @@ def test_decontamination_blocks_meet(spark):
     assert rows(decontaminate.decontaminate(d, b)) == rows(decontaminate.decontaminate(d, b, block_windows=100))
 
 
-def test_proximity_against_brute_force(spark):
+@pytest.mark.parametrize("options", [{}, {"block_windows": 7, "vocabulary_bits": 8}])
+def test_proximity_against_brute_force(spark, options):
     """n_near: items of which a window's words all lie within reach of its rarest one, though none occurs exactly."""
     import random
 
@@ -169,7 +170,7 @@ def test_proximity_against_brute_force(spark):
         at = rng.randrange(len(words) + 1)
         texts.append(words[:at] + item + words[at:])
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
-    got = {r["doc_id"]: (r["n_items"], r["n_near"]) for r in decontaminate.decontaminate(docs(spark, [" ".join(t) for t in texts]), bench).collect()}
+    got = {r["doc_id"]: (r["n_items"], r["n_near"]) for r in decontaminate.decontaminate(docs(spark, [" ".join(t) for t in texts]), bench, **options).collect()}
     frequency = Counter(w for t in texts for w in set(t))
     want = {}
     for d, t in enumerate(texts):
@@ -186,6 +187,18 @@ def test_proximity_against_brute_force(spark):
     assert got == want and any(n for _, n in want.values()) and any(n for n, _ in want.values())
 
 
+def test_long_items_are_cut_between_windows(spark):
+    """One item of many windows in blocks of three: its runs meet, and it counts once, as exact or near."""
+    item = [f"w{i}" for i in range(30)]
+    texts = [item, item[:8] + ["x"] * 40 + item[20:], item[4:12][::-1] + ["x"] * 40 + item[15:], item[9:17][::-1], ["w3"]]
+    bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item[:12])), (1, "w3")], "item_id long, text string")
+    rows = lambda **o: sorted(decontaminate.find_matches(docs(spark, [" ".join(t) for t in texts]), bench, **o).collect())
+    got = rows(block_windows=3, vocabulary_bits=8)
+    assert got == rows()
+    assert [[(x["start"], x["end"]) for x in r["runs"]] for r in got] == [[(0, 30)], [(0, 8), (48, 58)], [(48, 63)], [], [(0, 1)]]
+    assert [r["items"] for r in got] == [["1"], ["1"], ["1"], [], ["1"]] and [r["n_near"] for r in got] == [0, 0, 0, 1, 0]
+
+
 @pytest.mark.parametrize("block", [1 << 20, 1])
 def test_proximity_gives_items_and_places(spark, block):
     item, other = [f"a{i}" for i in range(8)], [f"b{i}" for i in range(8)]
