@@ -433,14 +433,15 @@ def test_maximal_repeats(strings, least):
     assert set(got) == want and len(got) == len(want)
 
 
-def test_repeats(spark):
+@pytest.mark.parametrize("options", [{}, {"hot_segments": 3, "sample": 1.0}])
+def test_repeats(spark, options):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in d.collect()}
     first = {}
     for i in sorted(texts):
         for s in range(len(texts[i]) - 49):
             first.setdefault(texts[i][s : s + 50], i)
-    for r in repeats.remove_repeats(d).collect():
+    for r in repeats.remove_repeats(d, **options).collect():
         t = texts[r["doc_id"]]
         gone = bytearray(len(t))
         for s in range(len(t) - 49):
@@ -450,6 +451,49 @@ def test_repeats(spark):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
 
 
+def test_hot_keys_are_split(spark):
+    """A common line in ever new surroundings: few segments share a key afterwards, and equal windows still do."""
+    import random
+
+    rng = random.Random(5)
+    pad = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    line = "the very common line of thirty-six b"
+    texts = [pad(60) + line + pad(60) for _ in range(300)] + [pad(9) + "tail of sixteen " + line + " and what comes after it" + pad(9) for _ in range(20)]
+    source = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    hot = repeats.hot_keys(source, least=30, sample=1.0)
+    assert len(hot) and not len(repeats.hot_keys(source.where("id < 20"), least=30, sample=1.0))
+    most, windows, keys = [], [], {}
+    for cut in (repeats.Segmenter(), repeats.Segmenter(hot=hot)):
+        data = "".join(texts).encode()
+        offsets = np.cumsum([0] + [len(t) for t in texts])
+        text, start, n, key, _ = cut(np.frombuffer(data, np.uint8), offsets)
+        own = {(t, s + i): x for t, s, m, x in zip(text.tolist(), start.tolist(), n.tolist(), key.tolist()) for i in range(m)}
+        assert len(own) == n.sum()
+        windows.append(sorted(own))
+        first = {(x, texts[t][s : s + m + 49]) for t, s, m, x in zip(text.tolist(), start.tolist(), n.tolist(), key.tolist())}
+        most.append(max(Counter(x for x, _ in first).values()))
+        keys.clear()
+        for (t, s), x in own.items():
+            assert keys.setdefault(texts[t][s : s + 50], x) == x
+    assert windows[0] == windows[1] and most[0] > 200 and most[1] <= 40, most
+    got = {r["doc_id"]: r["n_removed"] for r in repeats.remove_repeats(docs(spark, texts), hot_segments=30, sample=1.0).collect()}
+    assert all(got[i] == 0 for i in range(301)) and all(got[i] >= 76 for i in range(301, 320))
+
+
+def test_repeats_tell_texts_of_one_id_apart(spark):
+    """600 texts under one id, of which some share the low bits of any short checksum; each loses its own passage only."""
+    import random
+
+    rng = random.Random(3)
+    line = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passages = [line(60) for _ in range(600)]
+    texts = [line(rng.randrange(5, 90)) + p + line(30) for p in passages]
+    assert len({zlib.crc32(t.encode()) & 0xFFFF for t in texts}) < len(texts)
+    d = spark.createDataFrame([(0, p) for p in passages] + [(1, t) for t in texts], "doc_id long, text string")
+    got = Counter(r["kept_sha256"] for r in repeats.remove_repeats(d).where("doc_id = 1").collect())
+    assert got == Counter(hashlib.sha256(t.replace(p, "").encode()).hexdigest() for t, p in zip(texts, passages))
+
+
 def test_the_network_sees_whole_texts():
     """Probabilities against a plain forward pass; a step's gradients against differences of the loss."""
     rng = np.random.default_rng(3)

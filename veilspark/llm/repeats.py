@@ -11,7 +11,12 @@ as a whole. Only where one k-mer has several different segments are their bytes
 bytes find the repeats that are parts of segments.
 
 Hot passages are met once a batch (earlier occurrences inside a batch settle later ones) before anything is shuffled.
-Documents move by a hash of their ids, in parts of a bounded size. Segments are compared by 96 bits of hashes.
+A hot k-mer that stands in ever new surroundings is split by them: its windows are halved by its place in them, each half
+is keyed by the longer string that all its windows share, and so on while that is hot, down to single windows. Equal
+windows get equal keys on the way. Which keys are hot is estimated on a sample of the documents; that moves work only,
+as the result is the same whatever is split.
+Documents move by a hash of their ids, in parts of a bounded size. Segments are compared by 96 bits of hashes, and
+texts that share an id are told apart by 32 bits.
 
 Defined cases: a null text counts as empty; texts shorter than `length` have no repeats; rows that share an id are one
 owner, whose texts never repeat each other, though each is cut for itself; a row with a null id is left as it is; texts may have any length; an empty
@@ -21,15 +26,15 @@ table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.kit import _MULTIPLIER, _powers, materialize, mix, release, slices, utf8
+from veilspark.llm.kit import _MULTIPLIER, _powers, discard, materialize, mix, release, slices, utf8
 
 LENGTH, K = 50, 20
 #: Bytes of text whose segments are settled among themselves before they are shuffled.
@@ -37,9 +42,12 @@ BATCH_BYTES = 8 << 20
 #: Text bytes of a part of the documents, and of the text behind a bucket of segments; there are LEAST_PARTS at least.
 PART_BYTES, BUCKET_BYTES, LEAST_PARTS = 4 << 20, 8 << 20, 256
 
-#: `version` tells texts apart that share an id: 16 bits of their crc32.
-SEGMENT = np.dtype([("gram", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("version", "<u2"), ("start", "<u4"), ("windows", "u1")])
-RANGE = np.dtype([("doc", "<i8"), ("version", "<u2"), ("start", "<u4"), ("length", "<u4")])
+#: A key is split from about so many different segments on, by their number in this share of the documents; at most MAX_HOT keys a round.
+HOT_SEGMENTS, SAMPLE, MAX_HOT = 1 << 14, 1 / 64, 1 << 18
+
+#: `version` tells texts apart that share an id: 32 bits of a hash (one stands beside nearly each segment).
+SEGMENT = np.dtype([("gram", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("version", "<u4"), ("start", "<u4"), ("windows", "u1")])
+RANGE = np.dtype([("doc", "<i8"), ("version", "<u4"), ("start", "<u4"), ("length", "<u4")])
 
 
 # the suffix array ---------------------------------------------------------------------------------------------------
@@ -111,16 +119,21 @@ def maximal_repeats(strings: list[bytes], least: int):
 # segments -----------------------------------------------------------------------------------------------------------
 
 
+def version_of(data: bytes | np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(data) & 0xFFFFFFFF
+
+
 class Segmenter:
-    """Cuts the windows of a batch of texts into segments by their minimizers."""
+    """Cuts the windows of a batch of texts into segments by their minimizers, and those of hot keys into shorter ones."""
 
-    def __init__(self, length: int = LENGTH, k: int = K):
+    def __init__(self, length: int = LENGTH, k: int = K, hot: np.ndarray | None = None):
         self.length, self.k = length, k
+        self.hot = np.zeros(0, np.uint64) if hot is None else np.sort(hot)
         self.inverse = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
         self.powers = self.inverses = _powers(0, _MULTIPLIER)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(text, start in it, windows, k-mer hash, segment hash) of each segment."""
+        """(text, start in it, windows, key, segment hash) of each segment; the key is the hash of its k-mer, or of a longer string."""
         n, span = len(data), self.length - self.k + 1
         none = np.zeros(0, np.int64)
         if n < self.length:
@@ -144,10 +157,36 @@ class Segmenter:
         new[1:] &= (at[1:] != at[:-1]) | ~valid[:-1] | (text[1:] != text[:-1])
         starts = np.flatnonzero(new)
         ends = np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True))
+        starts, ends, keys = self._split(starts, ends, at[starts], grams[at[starts]], total)
         windows = ends - starts + 1
         stop = ends + self.length
         hashes = mix((total[stop] - total[starts]) * self.inverses[starts] + windows.astype(np.uint64))
-        return text[starts], starts - offsets[:-1][text[starts]], windows, grams[at[starts]], hashes
+        return text[starts], starts - offsets[:-1][text[starts]], windows, keys, hashes
+
+    def _split(self, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, keys: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, last window, key) of the segments, none of which has a hot key that can be split.
+
+        In a window the k-mer at `at` stands between offsets `low` and `high`, so all windows share the bytes from
+        at - low to at - high + length.
+        """
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), self.length - self.k)
+        while len(self.hot) and len(at):
+            short = keys >> np.uint64(16)
+            found = self.hot[np.minimum(np.searchsorted(self.hot, short), len(self.hot) - 1)] == short
+            split = found & (low < high)
+            if not split.any():
+                break
+            pieces = [(starts[~split], ends[~split], at[~split], keys[~split], low[~split], high[~split])]
+            middle = (low + high) // 2
+            for a, b in ((low, middle), (middle + 1, high)):
+                a, b, place = a[split], b[split], at[split]
+                first, last = np.maximum(starts[split], place - b), np.minimum(ends[split], place - a)
+                some = first <= last
+                a, b, place, first, last = a[some], b[some], place[some], first[some], last[some]
+                shared = mix((total[place - b + self.length] - total[place - a]) * self.inverses[place - a])
+                pieces.append((first, last, place, mix(shared + (a * 256 + b + 1).astype(np.uint64)), a, b))
+            starts, ends, at, keys, low, high = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        return starts, ends, keys
 
 
 def settle(segments: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,35 +253,63 @@ def _flow(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)] if rows else [pa.array([], t) for t in _SCHEMA.types], schema=_SCHEMA)
 
 
-def _cut(source: DataFrame, length: int, k: int, buckets: int, parts: int) -> DataFrame:
+def _batches(batches: Iterator[pa.RecordBatch], cut: Segmenter) -> Iterator[np.ndarray]:
+    """Segments of about BATCH_BYTES of text at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for piece in slices(batch, 1, 1 << 20):
+            data, offsets = utf8(piece.column(1))
+            text, start, windows, keys, hashes = cut(data, offsets)
+            out = np.zeros(len(text), SEGMENT)
+            out["gram"], out["hash"], out["start"], out["windows"] = keys >> np.uint64(16), hashes >> np.uint64(16), start, windows
+            out["doc"] = piece.column(0).to_numpy()[text]
+            out["version"] = np.array([version_of(data[a:b]) for a, b in zip(offsets, offsets[1:])], np.uint32)[text]
+            held.append(out)
+            size += len(data)
+            if size >= BATCH_BYTES:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def hot_keys(source: DataFrame, length: int = LENGTH, k: int = K, least: int = HOT_SEGMENTS, sample: float = SAMPLE) -> np.ndarray:
+    """Keys that about `least` different segments have, and the keys of their parts that are hot as well, by rounds.
+
+    The driver gets MAX_HOT keys a round at most, the hottest; others are left whole, which changes no result.
+    """
+    some = materialize(source.sample(sample, 1), "sample") if sample < 1 else source
+    hot = np.zeros(0, np.uint64)
+    for _ in range((length - k).bit_length() + 1):
+
+        def count(batches, hot=hot):
+            for segments in _batches(batches, Segmenter(length, k, hot)):
+                first = settle(segments, length)[0]  # sorted by gram and hash
+                new = np.append(True, (first["gram"][1:] != first["gram"][:-1]) | (first["hash"][1:] != first["hash"][:-1])) if len(first) else np.zeros(0, bool)
+                keys, n = np.unique(first["gram"][new], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+        counts = some.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        new = counts.where(F.col("n") >= max(2, least * sample)).orderBy(F.desc("n"), "key").limit(MAX_HOT).select("key").collect()
+        more = np.union1d(hot, np.array([r["key"] for r in new], np.uint64))
+        if len(more) == len(hot):
+            break
+        hot = more
+    discard(some)
+    return hot
+
+
+def _cut(source: DataFrame, length: int, k: int, buckets: int, parts: int, hot: np.ndarray) -> DataFrame:
     """Segments of all documents by bucket, and ranges that are settled inside a batch."""
+    known = source.sparkSession.sparkContext.broadcast(hot)  # MAX_HOT keys a round at most
 
     def run(batches):
-        cut = Segmenter(length, k)
-        held, size = [], 0
-
-        def settled():
-            kept, ranges = settle(np.concatenate(held), length)
+        for segments in _batches(batches, Segmenter(length, k, known.value)):
+            kept, ranges = settle(segments, length)
             rows = [(b, _SEGMENTS, 0, _packed(x, buckets)) for b, x in _dealt(kept, (kept["gram"] % np.uint64(buckets)).astype(np.int64))]
             ranges = merged(ranges)
             rows += [(p % buckets, _RANGES, p, x.tobytes()) for p, x in _dealt(ranges, part_of(ranges["doc"], parts))]
-            return _flow(rows)
-
-        for batch in batches:
-            for piece in slices(batch, 1, 1 << 20):
-                data, offsets = utf8(piece.column(1))
-                text, start, windows, grams, hashes = cut(data, offsets)
-                out = np.zeros(len(text), SEGMENT)
-                out["gram"], out["hash"], out["start"], out["windows"] = grams >> np.uint64(16), hashes >> np.uint64(16), start, windows
-                out["doc"] = piece.column(0).to_numpy()[text]
-                out["version"] = np.array([zlib.crc32(data[a:b]) & 0xFFFF for a, b in zip(offsets, offsets[1:])], np.uint16)[text]
-                held.append(out)
-                size += len(data)
-                if size >= BATCH_BYTES:
-                    yield settled()
-                    held, size = [], 0
-        if held:
-            yield settled()
+            yield _flow(rows)
 
     return source.mapInArrow(run, _FLOW)
 
@@ -278,7 +345,7 @@ def _unpacked(data: bytes, bucket: int, buckets: int) -> np.ndarray:
         whole[:, :size] = column("u1", size * rows).reshape(size, rows).T
         return whole.view("<i8")[:, 0]
 
-    docs, versions, counts = np.cumsum(planes(8, m)), column("<u2", m), planes(4, m)
+    docs, versions, counts = np.cumsum(planes(8, m)), column("<u4", m), planes(4, m)
     out["doc"], out["version"] = np.repeat(docs, counts), np.repeat(versions, counts)
     out["gram"] = planes(wide, n).astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket)
     out["hash"], out["start"], out["windows"] = planes(6, n), planes(4, n), column("u1", n)
@@ -326,7 +393,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, length: int, buckets: int) -> Dat
             for i, t in zip(texts["id"].to_pylist(), texts["text"].to_pylist()):
                 if i in need:
                     data = (t or "").encode()
-                    place[i, zlib.crc32(data) & 0xFFFF] = data
+                    place[i, version_of(data)] = data
             for bucket, own in _dealt(segments, (segments["gram"] % np.uint64(buckets)).astype(np.int64)):
                 strings = []
                 for doc, version, start, windows in own[["doc", "version", "start", "windows"]].tolist():
@@ -381,7 +448,9 @@ def _inside(fetched: DataFrame, length: int, parts: int) -> DataFrame:
     return fetched.groupBy("bucket").applyInArrow(run, _FLOW)
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> tuple[DataFrame, DataFrame, int]:
+def repeated_ranges(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, hot_segments: int = HOT_SEGMENTS, sample: float = SAMPLE
+) -> tuple[DataFrame, DataFrame, int]:
     """(documents by part, ranges by part, parts). A range is covered by strings of `length` bytes that an earlier id has too."""
     if not 1 <= k <= length or length - k >= 255:
         raise ValueError("k must be at most `length`, and less than 255 under it")
@@ -391,7 +460,9 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts, buckets = max(LEAST_PARTS, size // PART_BYTES), max(LEAST_PARTS, size // BUCKET_BYTES)
     named = source.where("id is not null")
 
-    flow = materialize(_compare(_cut(named.where(F.octet_length("text") >= length), length, k, buckets, parts), length, buckets, parts), "compared")
+    long = named.where(F.octet_length("text") >= length)
+    hot = hot_keys(long, length, k, hot_segments, sample)
+    flow = materialize(_compare(_cut(long, length, k, buckets, parts, hot), length, buckets, parts), "compared")
     release(spark)
     by_part = named.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
     wanted = flow.where(F.col("kind") == _WANTED).select("part", "data")
@@ -401,9 +472,9 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return by_part, ranges, parts
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, **options) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans array<struct<start, end>>) for each row."""
-    by_part, ranges, _ = repeated_ranges(docs, id_col, text_col, length, k)
+    by_part, ranges, _ = repeated_ranges(docs, id_col, text_col, length, k, **options)
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
@@ -414,7 +485,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             a, b = np.searchsorted(all_ranges["doc"], [i, i + 1])
             at, kept, spans = 0, [], []
             own = all_ranges[a:b]
-            own = own[own["version"] == (zlib.crc32(data) & 0xFFFF)]
+            own = own[own["version"] == np.uint32(version_of(data))]
             for s, n in zip(own["start"].tolist(), own["length"].tolist()):
                 kept.append(data[at:s])
                 at = s + n
