@@ -480,6 +480,38 @@ def test_hot_keys_are_split(spark):
     assert all(got[i] == 0 for i in range(301)) and all(got[i] >= 76 for i in range(301, 320))
 
 
+def test_hot_keys_are_counted_once(spark, monkeypatch):
+    """A round counts the parts of the keys just found, not all keys again, and finds what counting all of them does."""
+    import random
+
+    rng = random.Random(8)
+    pad = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    line = "the very common line that is of forty-five byt"
+    texts = [pad(60) + line + pad(60) for _ in range(300)] + [pad(400) for _ in range(100)]
+    source = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    offsets, data = np.cumsum([0] + [len(t) for t in texts]), np.frombuffer("".join(texts).encode(), np.uint8)
+    want, rounds = np.zeros(0, np.uint64), 0
+    while True:
+        _, _, _, key, hashes = repeats.Segmenter(hot=want)(data, offsets)
+        different = np.unique(np.stack([key >> np.uint64(16), hashes >> np.uint64(16)]), axis=1)[0]
+        keys, n = np.unique(different, return_counts=True)
+        more, rounds = np.union1d(want, keys[n >= 30]), rounds + 1
+        if len(more) == len(want):
+            break
+        want = more
+    made, plain = [], type(source).mapInArrow
+
+    def counted(self, *args, **options):
+        out = plain(self, *args, **options)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(source), "mapInArrow", counted)
+    hot = repeats.hot_keys(source, least=30, sample=1.0)
+    assert rounds > 2 and len(made) == rounds and np.array_equal(hot, want)
+    assert 0 < sum(made[1:]) < made[0], made
+
+
 def test_repeats_tell_texts_of_one_id_apart(spark):
     """600 texts under one id, of which some share the low bits of any short checksum; each loses its own passage only."""
     import random

@@ -124,11 +124,15 @@ def version_of(data: bytes | np.ndarray) -> int:
 
 
 class Segmenter:
-    """Cuts the windows of a batch of texts into segments by their minimizers, and those of hot keys into shorter ones."""
+    """Cuts the windows of a batch of texts into segments by their minimizers, and those of hot keys into shorter ones.
 
-    def __init__(self, length: int = LENGTH, k: int = K, hot: np.ndarray | None = None):
+    With `parts_of`, some of the hot keys, only the parts that these are split into directly are given.
+    """
+
+    def __init__(self, length: int = LENGTH, k: int = K, hot: np.ndarray | None = None, parts_of: np.ndarray | None = None):
         self.length, self.k = length, k
         self.hot = np.zeros(0, np.uint64) if hot is None else np.sort(hot)
+        self.parts_of = parts_of
         self.inverse = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
         self.powers = self.inverses = _powers(0, _MULTIPLIER)
 
@@ -170,13 +174,15 @@ class Segmenter:
         at - low to at - high + length.
         """
         low, high = np.zeros(len(at), np.int64), np.full(len(at), self.length - self.k)
+        wanted = np.full(len(at), self.parts_of is None)
         while len(self.hot) and len(at):
             short = keys >> np.uint64(16)
             found = self.hot[np.minimum(np.searchsorted(self.hot, short), len(self.hot) - 1)] == short
             split = found & (low < high)
             if not split.any():
                 break
-            pieces = [(starts[~split], ends[~split], at[~split], keys[~split], low[~split], high[~split])]
+            pieces = [(starts[~split], ends[~split], at[~split], keys[~split], low[~split], high[~split], wanted[~split])]
+            part_of_wanted = np.isin(short[split], self.parts_of) if self.parts_of is not None else wanted[split]
             middle = (low + high) // 2
             for a, b in ((low, middle), (middle + 1, high)):
                 a, b, place = a[split], b[split], at[split]
@@ -184,9 +190,9 @@ class Segmenter:
                 some = first <= last
                 a, b, place, first, last = a[some], b[some], place[some], first[some], last[some]
                 shared = mix((total[place - b + self.length] - total[place - a]) * self.inverses[place - a])
-                pieces.append((first, last, place, mix(shared + (a * 256 + b + 1).astype(np.uint64)), a, b))
-            starts, ends, at, keys, low, high = (np.concatenate(x) for x in zip(*pieces, strict=True))
-        return starts, ends, keys
+                pieces.append((first, last, place, mix(shared + (a * 256 + b + 1).astype(np.uint64)), a, b, part_of_wanted[some]))
+            starts, ends, at, keys, low, high, wanted = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        return starts[wanted], ends[wanted], keys[wanted]
 
 
 def settle(segments: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -276,14 +282,15 @@ def _batches(batches: Iterator[pa.RecordBatch], cut: Segmenter) -> Iterator[np.n
 def hot_keys(source: DataFrame, length: int = LENGTH, k: int = K, least: int = HOT_SEGMENTS, sample: float = SAMPLE) -> np.ndarray:
     """Keys that about `least` different segments have, and the keys of their parts that are hot as well, by rounds.
 
-    The driver gets MAX_HOT keys a round at most, the hottest; others are left whole, which changes no result.
+    The driver gets MAX_HOT keys a round at most, the hottest; others are left whole, which changes no result. A round
+    counts the parts of the keys that the round before found; it counts all keys again only if that one found MAX_HOT.
     """
     some = materialize(source.sample(sample, 1), "sample") if sample < 1 else source
-    hot = np.zeros(0, np.uint64)
+    hot, parts_of = np.zeros(0, np.uint64), None
     for _ in range((length - k).bit_length() + 1):
 
-        def count(batches, hot=hot):
-            for segments in _batches(batches, Segmenter(length, k, hot)):
+        def count(batches, hot=hot, parts_of=parts_of):
+            for segments in _batches(batches, Segmenter(length, k, hot, parts_of)):
                 first = settle(segments, length)[0]  # sorted by gram and hash
                 new = np.append(True, (first["gram"][1:] != first["gram"][:-1]) | (first["hash"][1:] != first["hash"][:-1])) if len(first) else np.zeros(0, bool)
                 keys, n = np.unique(first["gram"][new], return_counts=True)
@@ -291,10 +298,11 @@ def hot_keys(source: DataFrame, length: int = LENGTH, k: int = K, least: int = H
 
         counts = some.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         new = counts.where(F.col("n") >= max(2, least * sample)).orderBy(F.desc("n"), "key").limit(MAX_HOT).select("key").collect()
-        more = np.union1d(hot, np.array([r["key"] for r in new], np.uint64))
+        new = np.array([r["key"] for r in new], np.uint64)
+        more = np.union1d(hot, new)
         if len(more) == len(hot):
             break
-        hot = more
+        hot, parts_of = more, new if len(new) < MAX_HOT else None
     discard(some)
     return hot
 
