@@ -9,9 +9,10 @@ from veilspark.functions.dialect import replace_by
 from veilspark.functions.keep import kept_of
 from veilspark.functions.normalize import normalize_name
 from veilspark.functions.system_rules import cleanup
+from veilspark.operators.contain import lookup
 from veilspark.operators.resolve import identify_in_text, resolve_factory
 from veilspark.plans.rulebase import RuleBase
-from veilspark.plans.scratch import saved
+from veilspark.plans.scratch import discard, saved
 
 # Status words and the reason of the second.
 GREEN, YELLOW = "ЗЕЛЁНЫЙ", "ЖЁЛТЫЙ"
@@ -42,8 +43,10 @@ def _one_pass(rows: DataFrame, base: RuleBase) -> DataFrame:
     rules_of = base.patterns_by_inn().withColumnRenamed("rules", "by_inn")
     named = base.patterns_by_name().withColumnRenamed("rules", "by_name")
     everyone = base.global_patterns().agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label", "pattern"))), lambda x: F.struct(x["label"].alias("label"), x["pattern"].alias("pattern"))).alias("for_all"))  # one row
-    df = rows.join(rules_of, "inn", "left").withColumn("name_key", F.when(F.col("by_inn").isNull(), normalize_name(F.col("factory")))).join(named, "name_key", "left")
-    df = df.join(base.alias_patterns(), "inn", "left").crossJoin(F.broadcast(everyone))  # a single row of global rules
+    # rules join last: rows that carry them are wide, and are neither shuffled nor sorted
+    ruled = base.patterns_by_inn().select("inn", F.lit(True).alias("ruled"))
+    df = lookup(rows, "inn", "row_id", ruled).withColumn("name_key", F.when(F.col("ruled").isNull(), normalize_name(F.col("factory"))))
+    df = lookup(lookup(df, "name_key", "row_id", named), "inn", "row_id", rules_of, base.alias_patterns()).crossJoin(F.broadcast(everyone))  # a single row of global rules
     empty = F.array().cast(_NONE)
     state = F.struct(F.col("s"), F.array().cast("array<string>").alias("applied"))
     df = df.withColumn("st", _fold(state, F.col("for_all")))
@@ -66,25 +69,28 @@ def anonymize(items: DataFrame, base: RuleBase) -> DataFrame:
     Rows that have settled leave the loop; each pass works on the rest, MAX_PASSES at most.
     """
     base = base.indexed()
-    rows = items.select("row_id", F.coalesce("name", F.lit("")).alias("original"), F.coalesce("code", F.lit("")).alias("code"), F.coalesce("factory", F.lit("")).alias("factory"))
+    rows = items.select("row_id", F.coalesce("name", F.lit("")).alias("original"), F.coalesce("code", F.lit("")).alias("code"), F.coalesce("factory", F.lit("")).alias("factory")).repartition("row_id")  # a small file may hold many rows
     fixed = resolve_factory(rows, base).select("row_id", F.col("factory").alias("fixed_factory"), F.col("inn").alias("fixed_inn"))
-    rows = rows.select("row_id", "original").join(fixed, "row_id")
+    rows = saved(rows.select("row_id", "original").join(fixed, "row_id"), "resolved")
     names = base.maker_names().select("inn", F.col("manufacturer").alias("named"))
     found = identify_in_text(rows.where("fixed_inn = ''"), base, "original")
     rows = rows.join(found.withColumnRenamed("inn", "guess"), "row_id", "left").withColumn("inn", F.coalesce(F.nullif("fixed_inn", F.lit("")), "guess", F.lit("")))
-    rows = rows.join(names, "inn", "left").withColumn("factory", F.when((F.col("fixed_inn") == "") & (F.col("inn") != ""), F.coalesce("named", "fixed_factory")).otherwise(F.col("fixed_factory")))
+    rows = lookup(rows, "inn", "row_id", names).withColumn("factory", F.when((F.col("fixed_inn") == "") & (F.col("inn") != ""), F.coalesce("named", "fixed_factory")).otherwise(F.col("fixed_factory")))
     rows = rows.withColumn("s", F.col("original")).withColumn("applied", F.array().cast("array<string>")).withColumn("ever", F.col("inn") != "")
     columns = ("row_id", "original", "fixed_factory", "fixed_inn", "inn", "factory", "s", "applied", "ever")
     active, done = saved(rows.select(*columns)), None
     for turn in range(MAX_PASSES):
-        after = _one_pass(active.withColumn("before", F.col("s")), base).withColumn("applied", F.concat("applied", "fired"))
+        # written, as the makers are looked for in it: else the plan would hold, and run, the whole pass for each of its readers
+        passed = saved(_one_pass(active.withColumn("before", F.col("s")), base).withColumn("applied", F.concat("applied", "fired")), "passed")
+        after = passed
         again = identify_in_text(after.where("fixed_inn = ''"), base, "s").select("row_id", F.col("inn").alias("guess"))
-        after = after.join(again, "row_id", "left").join(names.select(F.col("inn").alias("guess"), F.col("named")), "guess", "left")
+        after = lookup(after.join(again, "row_id", "left"), "guess", "row_id", names.select(F.col("inn").alias("guess"), F.col("named")))
         next_inn = F.when(F.col("fixed_inn") != "", F.col("inn")).otherwise(F.coalesce("guess", F.lit("")))
         next_factory = F.when(F.col("fixed_inn") != "", F.col("factory")).when(F.col("guess").isNotNull(), F.coalesce("named", "factory")).otherwise("")
         after = after.withColumn("settled", (F.col("s") == F.col("before")) & (next_inn == F.col("inn"))).withColumn("ever", F.col("ever") | F.col("guess").isNotNull())
         after = after.withColumn("factory", F.when(F.col("settled"), F.col("factory")).otherwise(next_factory)).withColumn("inn", F.when(F.col("settled"), F.col("inn")).otherwise(next_inn))
         after = saved(after.select(*columns, "settled"))
+        discard(passed)
         last = turn == MAX_PASSES - 1
         finished = after.select(*columns) if last else after.where("settled").select(*columns)
         done = finished if done is None else done.unionByName(finished)

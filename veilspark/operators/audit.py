@@ -9,6 +9,7 @@ from veilspark.functions.keep import keep_signature
 from veilspark.operators.anonymize import GREEN, YELLOW, anonymize
 from veilspark.operators.spans import redaction_spans
 from veilspark.plans.rulebase import RuleBase
+from veilspark.plans.scratch import saved
 
 FILLS = {GREEN: "D9EAD3", YELLOW: "FFF2CC"}
 
@@ -37,7 +38,7 @@ def with_fill(results: DataFrame) -> DataFrame:
 def row_audits(items: DataFrame, results: DataFrame, base: RuleBase) -> DataFrame:
     """(row_id, keep_losses, idempotence_failures, residual_confirmed): whether each row fails one of the guards."""
     base = base.indexed()
-    both = items.select("row_id", "name", "code", "factory").join(results.select("row_id", "text"), "row_id")
+    both = saved(items.select("row_id", "name", "code", "factory").join(results.select("row_id", "text"), "row_id"), "both")  # its readers read it many times
     again = anonymize(both.select("row_id", F.col("text").alias("name"), "code", "factory"), base).select("row_id", F.col("text").alias("again"))
     left = redaction_spans(both.select("row_id", "text", "code", "factory"), base).select("row_id", F.lit(True).alias("left")).distinct()
     out = both.join(again, "row_id").join(left, "row_id", "left")
